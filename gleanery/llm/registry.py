@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.cluster import ship
-from gleanery.llm import mixing, quality_rules, secret_scan
+from gleanery.llm import mixing, quality_rules, secret_scan, substring
 
 _OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op8_substring_dedup": substring.op8_substring_dedup,
 }
 
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for name, f in _OPERATORS.items()}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
+    "op8_substring_dedup": substring.SQL,
 }

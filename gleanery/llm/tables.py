@@ -47,3 +47,11 @@ def clash_free(df: DataFrame, **columns) -> DataFrame:
     taken = {c.lower() for c in columns}
     kept = [df[f"`{c}`"] for c in df.columns if c.lower() not in taken]
     return df.select(*kept, *(v.alias(k) for k, v in columns.items()))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer referenced, before the next large shuffle."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
