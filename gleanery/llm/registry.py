@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.cluster import ship
-from gleanery.llm import mixing, quality_rules, secret_scan, substring
+from gleanery.llm import mixing, ngram_join, quality_rules, secret_scan, substring
 
 _OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op8_substring_dedup": substring.op8_substring_dedup,
 }
 
