@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.cluster import ship
-from gleanery.llm import compression, mixing, ngram_join, quality_rules, secret_scan, substring
+from gleanery.llm import chat, compression, mixing, ngram_join, quality_rules, secret_scan, substring
 
 _OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ _OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op8_substring_dedup": substring.op8_substring_dedup,
+    "op9_preference_format": chat.op9_preference_format,
     "op10_quality_classifier": compression.op10_quality_classifier,
 }
 
@@ -23,4 +24,5 @@ QUERIES = {name: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for name, f
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
     "op8_substring_dedup": substring.SQL,
+    "op9_preference_format": chat.SQL,
 }
