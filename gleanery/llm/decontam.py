@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import textkit as tk
-from gleanery.llm.tables import cut
+from gleanery.llm.tables import cut, schema_of
 
 SEED = 3
 BLOCK_ITEMS = 20_000
@@ -188,25 +188,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     items are looked for once each; repeated rows and null ids come back as they are; other columns are ignored; an empty
     table on either side gives no rows.
     """
-    spark = docs.sparkSession
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     schema = f"id {kind}, item_id long, score double, first_word long, last_word long"
+    out = None
+    for seeds in seed_blocks(narrow, benchmark, item_col):
+        found = narrow.mapInArrow(finder(seeds, threshold), schema)
+        out = found if out is None else cut(out, "contaminated").unionByName(found)
+    return out.withColumnRenamed("id", id_col)
+
+
+def seed_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id"):
+    """Broadcasts of the items with their seeds, block by block; ``docs`` has a column ``text``."""
+    spark = docs.sparkSession
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text is not null and item_id is not null")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
-    out = None
     for n in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n).orderBy("item_id", "text").collect()  # about BLOCK_ITEMS rows
         block = Items.of([(r["item_id"], r["text"]) for r in mine])
         shared = spark.sparkContext.broadcast(block)
         counts = np.zeros(len(block.grams), np.int64)
-        for r in narrow.select("text").mapInArrow(counter(shared), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # the block's n-grams at most
+        for r in docs.select("text").mapInArrow(counter(shared), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # the block's n-grams at most
             counts[r["gram"]] = r["n"]
-        seeds = spark.sparkContext.broadcast(block.seeds(counts))
-        found = narrow.mapInArrow(finder(seeds, threshold), schema)
-        found = cut(found, "contaminated") if blocks > 1 else found
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("id", id_col)
+        yield spark.sparkContext.broadcast(block.seeds(counts))
+
+
+def without_items(items, text_at: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = items.value
+        maybe = block.seen_filter()
+        for batch in batches:
+            ok = [not alignments(h, block, maybe, threshold) for *_, h in tk.hashed_docs(flat(t) for t in tk.as_bytes(batch.column(text_at)))]
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no test item is found (see :func:`contaminated`)."""
+    narrow = docs.select(docs[text_col].cast("string").alias("text"))
+    for seeds in seed_blocks(narrow, benchmark, item_col):
+        docs = docs.mapInArrow(without_items(seeds, docs.columns.index(text_col), threshold), schema_of(docs))
+    return docs
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

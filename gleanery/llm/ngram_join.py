@@ -19,12 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm import textkit as tk
 from gleanery.llm.components import components
-from gleanery.llm.tables import BROADCAST_ROWS, cut, release
+from gleanery.llm.tables import BROADCAST_ROWS, anti_join, cut, release
 
 SHINGLE = 5
 #: The threshold as a fraction: similar when 5 * both >= 4 * either.
@@ -324,5 +324,22 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
 
 
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of similar texts, the one of the least id.
+
+    Rows with a null id and texts without words stay.  Only ids that go are joined to whole rows.  Where an id repeats,
+    one of its rows stays; that costs a shuffle of whole rows, made only if there are such ids.
+    """
+    found = cut(ngram_join(docs, id_col=id_col, text_col=text_col).select(id_col, "component_id", "n_shingles"), "found")
+    kept = anti_join(docs, found.where(F.col(id_col) != F.col("component_id")), id_col)
+    ids = found.where("n_shingles > 0").where(F.col(id_col).isNotNull())
+    if ids.groupBy(id_col).count().where("count > 1").take(1):
+        empty = ~F.coalesce(docs[text_col], F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+        turn = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col)))
+        apart = F.col(id_col).isNull() | empty
+        kept = kept.where(~apart).withColumn("__turn", turn).where("__turn = 1").drop("__turn").unionByName(kept.where(apart))
+    return kept
+
+
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.cluster import ship
-from gleanery.llm import chat, compression, decontam, mixing, ngram_join, quality_rules, secret_scan, substring, warc
+from gleanery.llm import chat, compression, decontam, mixing, ngram_join, pii, quality_rules, secret_scan, substring, warc
 
 _OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_private_data": pii.op4_private_data,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_decontaminate": decontam.op6_decontaminate,
     "op7_warc_index": warc.op7_warc_index,

@@ -6,6 +6,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A side of at most this many rows of a few plain columns may be broadcast; above it the join shuffles.
 BROADCAST_ROWS = 100_000
@@ -55,3 +56,13 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark._jvm.System.gc()
+
+
+def schema_of(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def anti_join(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``docs`` without the keys in ``gone`` (written first; broadcast only when few)."""
+    gone = cut(gone.select(key).where(f"`{key}` is not null").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti").select(*docs.columns)
