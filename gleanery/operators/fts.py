@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery import storage
 from gleanery.functions import text
 from gleanery.operators.index import COLUMNS, Index
 
@@ -103,7 +104,8 @@ def ladder(index: Index, terms: DataFrame, section: str | None = None, kind: str
     """``query_id, stage, chunk_id, score`` of stages 1 to 8; a chunk comes in every stage that it satisfies."""
     _, mean = index.corpus()
     allowed = _chosen(index, section, kind)
-    base = _scored(index, phrase_hits(index, terms), allowed)
+    # seven of the stages read this: one row for each query and chunk that has any of its terms
+    base = storage.written(_scored(index, phrase_hits(index, terms), allowed), "scored")
     k, size, phrases = F.col("k"), F.col("size"), F.col("phrases")
     out = []
     for title in (True, False):
@@ -158,7 +160,7 @@ def search(index: Index, queries: DataFrame, *, limit: int = 10, per_page: int =
     As asked for, the limit cuts before repeats are dropped, so fewer rows may come back than match; ``strict_limit`` drops
     them first.  Queries without any letter or digit are only sought as substrings.
     """
-    terms = query_terms(index, queries)
+    terms = storage.written(query_terms(index, queries), "terms")
     rows = ladder(index, terms, section, kind).unionByName(substring_hits(index, queries, section, kind).join(terms.select("query_id").distinct().withColumn("worded", F.lit(True)), "query_id", "left").where("worded or stage = 10").drop("worded"))
     if strict_limit:
         again = F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("stage", "score"))

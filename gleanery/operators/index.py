@@ -108,9 +108,11 @@ class Index:
         return cls(**{name: spark.read.parquet(p) for name, p in at.items() if storage.exists(spark, p)})
 
     def corpus(self) -> tuple[int, float]:
-        """Chunks, and terms of an average chunk."""
-        n, mean = self.sizes.agg(F.count(F.lit(1)), F.avg("n_terms")).first()
-        return n, mean or 0.0
+        """Chunks, and terms of an average chunk; counted once for an index in memory."""
+        if "_corpus" not in self.__dict__:
+            n, mean = self.sizes.agg(F.count(F.lit(1)), F.avg("n_terms")).first()
+            self._corpus = (n, mean or 0.0)
+        return self._corpus
 
     def stats(self) -> dict:
         counts = {name: (getattr(self, name).count() if getattr(self, name) is not None else 0) for name in ("pages", "links", "chunks", "vectors")}

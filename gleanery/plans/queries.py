@@ -100,7 +100,7 @@ near_ AS (SELECT n.query_id, n.first, n.chunk_id, sum(-(CASE WHEN n.first = 1 TH
 ppart AS (SELECT query_id, i, chunk_id, sum(wt) AS f FROM prehits GROUP BY query_id, i, chunk_id),
 psum AS (SELECT p.query_id, p.chunk_id, sum(-w.w * p.f * 2.2 / (p.f + 1.2 * (0.25 + 0.75 * s.d / c.mean))) AS s FROM ppart p JOIN pw w USING (query_id, i) JOIN size s USING (chunk_id), corpus c GROUP BY p.query_id, p.chunk_id),
 rawq AS (SELECT query_id, list_transform(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> ''), lambda x: lower(x)) AS r FROM toks),
-subs AS (SELECT q.query_id, c.chunk_id, len(list_filter(q.r, lambda x: NOT contains(lower(c.title), x))) = 0 AS titled FROM rawq q JOIN chunk c ON len(list_filter(q.r, lambda x: NOT contains(lower(c.title), x))) = 0 OR len(list_filter(q.r, lambda x: NOT contains(lower(c.body), x))) = 0),
+subs AS (SELECT q.query_id, c.chunk_id, len(list_filter(q.r, lambda x: NOT contains(lower(c.title), x))) = 0 AS titled FROM rawq q JOIN chunk c ON len(q.r) > 0 AND (len(list_filter(q.r, lambda x: NOT contains(lower(c.title), x))) = 0 OR len(list_filter(q.r, lambda x: NOT contains(lower(c.body), x))) = 0)),
 stages AS (
   SELECT query_id, first AS stage, chunk_id, s AS score FROM near_
   UNION ALL SELECT query_id, first + 1, chunk_id, s FROM sums WHERE m = k
@@ -123,14 +123,14 @@ def _stage(n: int):
     def run(spark, sf_dir):
         idx = doc_index(spark, sf_dir)
         found = fts.ladder(idx, fts.query_terms(idx, bench_queries(spark, sf_dir)))
-        return found.where(F.col("stage") == n).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
+        return found.where(F.col("stage") == n).select("query_id", "chunk_id", (F.round("score", 5) + 0.0).alias("score"))
 
     return run
 
 
 for _n, _name in STAGES.items():
     QUERIES[_name] = _stage(_n)
-    ORACLE[_name] = f"{SQL_SEARCH}\nSELECT query_id, chunk_id, round(score, 5) AS score FROM stages WHERE stage = {_n}"
+    ORACLE[_name] = f"{SQL_SEARCH}\nSELECT query_id, chunk_id, round(score, 5) + 0.0 AS score FROM stages WHERE stage = {_n}"
 
 
 @query(f"{SQL_SEARCH}\nSELECT query_id, stage::INTEGER AS stage, chunk_id FROM stages WHERE stage >= 9")
@@ -138,10 +138,10 @@ def fts_substring(spark, sf_dir):
     return fts.substring_hits(doc_index(spark, sf_dir), bench_queries(spark, sf_dir)).select("query_id", "stage", "chunk_id")
 
 
-@query(f"{SQL_FOUND}\nSELECT f.query_id, f.rank::INTEGER AS rank, f.stage::INTEGER AS stage, c.id, c.title, f.chunk_id, round(f.score, 5) AS score FROM found f JOIN chunk c USING (chunk_id)")
+@query(f"{SQL_FOUND}\nSELECT f.query_id, f.rank::INTEGER AS rank, f.stage::INTEGER AS stage, c.id, c.title, f.chunk_id, round(f.score, 5) + 0.0 AS score FROM found f JOIN chunk c USING (chunk_id)")
 def fts_search(spark, sf_dir):
     found = fts.search(doc_index(spark, sf_dir), bench_queries(spark, sf_dir), limit=10)
-    return found.select("query_id", "rank", "stage", "id", "title", "chunk_id", F.round("score", 5).alias("score"))
+    return found.select("query_id", "rank", "stage", "id", "title", "chunk_id", (F.round("score", 5) + 0.0).alias("score"))
 
 
 @query(f"{SQL_SEARCH}\nSELECT query_id, i::INTEGER AS i, k::INTEGER AS k, term FROM terms")
