@@ -57,7 +57,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, id_col: st
     """All columns of ``docs``, once for each copy, with ``mix_rate``, ``mix_copies``, ``mix_copy`` (from 1) and
     ``mix_key``, globally shuffled by the last.  Columns of those names are replaced.
 
-    ``weights`` has a source and a weight in its first two columns (sources it lacks get 0; rows of a source add up);
+    ``weights`` has a source and a weight in its first two columns (sources it lacks get 0, rows of a source add up, and sources
+    without documents take no share);
     without it, weights follow ``temperature``.  Sizes are code points of text and the result's expected size is
     ``epochs`` times the input's.
 

@@ -55,7 +55,8 @@ CLASSES = (
 )
 KINDS = (*BASE_KINDS, *(c.kind for c in CLASSES))
 
-#: A flagged span is dropped when one of these matches all of it with up to 12 characters on either side.
+#: A flagged span is dropped when one of these matches what stands around it: up to 200 characters of its own word before
+#: it, 12 before that word and 12 after the span.
 ALLOW = (
     r".*[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}.*",
     r".*EXAMPLE.*",
@@ -70,7 +71,7 @@ def hot_windows(run: str, cls: CharClass) -> list[tuple[int, int]]:
     w = cls.window
     if len(run) < w:
         return []
-    xlogx = [0.0] + [n * math.log2(n) for n in range(1, w + 1)]
+    xlogx = [0.0] + [n * math.log2(n) for n in range(1, w + 2)]  # a character goes in before one goes out
     need_of = {c: i for i, s in enumerate(cls.needs) for c in s}
     counts: dict[str, int] = {}
     has = [0] * len(cls.needs)
@@ -121,7 +122,7 @@ def find_secrets(text: str, classes: Sequence[CharClass] = CLASSES, allow: Seque
     base: list[tuple[str, int, int]] = []
     if "=" in text or ":" in text:
         base += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
-    more: list[tuple[str, int, int]] = []
+    more: list[tuple[str, int, int, int]] = []
     for at, word in _long_words(text, 20):
         if "AKIA" in word:
             base += [("access", at + m.start(), at + m.end()) for m in _ACCESS.finditer(word) if m.end() - m.start() >= 20]
@@ -129,10 +130,11 @@ def find_secrets(text: str, classes: Sequence[CharClass] = CLASSES, allow: Seque
         for cls in classes:
             for m in cls.run.finditer(word):
                 if m.end() - m.start() >= cls.window:
-                    more += [(cls.kind, at + m.start() + a, at + m.start() + b) for a, b in hot_windows(m[0], cls)]
+                    more += [(cls.kind, at + m.start() + a, at + m.start() + b, at) for a, b in hot_windows(m[0], cls)]
     taken = [(a, b) for _, a, b in base]
-    for kind, a, b in more:
-        if not any(x <= a and b <= y for x, y in taken) and not any(p.fullmatch(text[max(0, a - 12) : b + 12].replace("\n", " ")) for p in allow):
+    for kind, a, b, word_at in more:
+        around = text[max(0, word_at - 12, a - 200) : b + 12].replace("\n", " ")
+        if not any(x <= a and b <= y for x, y in taken) and not any(p.fullmatch(around) for p in allow):
             taken.append((a, b))
             base.append((kind, a, b))
     return base
