@@ -1,14 +1,44 @@
-"""Connected components by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components: by alternating large-star and small-star steps (Kiveris et al., 2014), or in one task where the
+links are few enough to be held there."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.tables import cut
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Up to so many links, counted first, one task joins them; beyond it the steps run on all executors. Same result.
+ONE_TASK_LINKS = 500_000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict = {}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    kind = pa.null()
+    for batch in batches:
+        kind = batch.column(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            up.setdefault(u, u)
+            up.setdefault(v, v)
+            x, y = root(u), root(v)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(x) for x in up], kind)], names=["node", "root"])
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK_LINKS) -> DataFrame:
     """``node`` and ``root`` (the least node reachable) for every node of ``links``.
 
     Each step re-hangs edges on local minima, so stars form in a logarithmic number of rounds whatever the diameter; a
@@ -16,6 +46,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     lineage.  Loops and repeated links do no harm; rows with a null end are left out; no links give no rows.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges")
+    if edges.count() <= one_task:
+        kind = edges.schema["u"].dataType.simpleString()
+        return edges.coalesce(1).mapInArrow(_united, f"node {kind}, root {kind}")
     before = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
