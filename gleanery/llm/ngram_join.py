@@ -4,7 +4,8 @@
    a fixed table of counters, over all rows.
 2. A set is ordered rarest first by those counts.  Sets that are similar enough share a shingle among the first
    ``n - ceil(t n) + 1`` of both, so only that prefix is posted, in compressed blocks, to the shingle's bucket.
-3. Within a shingle's group, the length filter and the positional filter decide which pairs are candidates.  A candidate
+3. Within a shingle's group, the length filter and the positional filter decide which pairs are candidates, and what two
+   prefixes share in all which of them are worth a look at the texts.  A candidate
    pair is verified once, whatever shingles it shares: a suffix filter first, then the intersection of the sets.
 4. Groups are not expanded into all their pairs.  Members are first compared with a hub of their group; once links have
    merged classes into components, only pairs across components can still matter.  Hub rounds go on with other hubs while
@@ -31,9 +32,11 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 SKETCH = 1 << 20
 SEGMENTS = 64
-BUFFER_POSTINGS = 2_000_000
+BUFFER_POSTINGS = 1_000_000
 #: Hub rounds at most, before what is left is compared in full.
-HUB_ROUNDS = 4
+HUB_ROUNDS = 2
+#: Hubs of a group and size class in each of them.
+HUBS = 16
 
 
 def enough(nx: int, ny: int) -> int:
@@ -152,10 +155,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at += n * np.dtype(kind).itemsize
             parts.append(cols)
         token, key, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((key, token))
+        order = np.lexsort((pos, key, token))
         token, key, n, pos = (x[order] for x in (token, key, n, pos))
-        first = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
-        token, key, n, pos = (x[first] for x in (token, key, n, pos))
+        first = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])])
+        token, key, n, pos = (x[first] for x in (token, key, n, pos))  # several tasks post the same set
         same = token[1:] == token[:-1]
         shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         if shared.any():
@@ -175,11 +178,26 @@ def candidates(left: DataFrame, right: DataFrame, more=None) -> DataFrame:
     return x.join(y, on).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
-def hubs(groups: DataFrame, turn: int) -> DataFrame:
-    """One member for each group and size class; neighbouring classes see each other's hub."""
+def promising(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs whose prefixes have enough shingles in common: of two similar sets, the one whose prefix ends first in the
+    common order shares with the other only what both prefixes show and what its own suffix holds."""
+    x = prefixes.select(F.col("key").alias("a"), F.col("n").alias("nx"), F.col("gids").alias("gx"))
+    y = prefixes.select(F.col("key").alias("b"), F.col("n").alias("ny"), F.col("gids").alias("gy"))
+    both = pairs.join(x, "a").join(y, "b")
+    within = lambda p, q: F.size(F.filter(p, lambda g: F.array_contains(q, g)))
+    shared = F.greatest(within(F.col("gx"), F.col("gy")), within(F.col("gy"), F.col("gx")))
+    suffix = F.ceil(F.greatest("nx", "ny") * NUM / DEN).cast("int") - 1
+    return both.where((NUM + DEN) * (shared + suffix) >= NUM * (F.col("nx") + F.col("ny"))).select("a", "b")
+
+
+def hubs(groups: DataFrame, turn: int, many: int = 1) -> DataFrame:
+    """``many`` members (fewer if they coincide) for each group and size class, others at every turn; neighbouring classes
+    see each other's hubs."""
     size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM)))
-    hub = groups.withColumn("size", size).groupBy("gid", "size").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("r"), "key", "n", "pos")).alias("h"))
-    return hub.select("gid", "h.key", "h.n", "h.pos")
+    least = [F.min(F.struct(F.xxhash64("key", F.lit(turn), F.lit(j)).alias("r"), "key", "n", "pos")).alias(f"h{j}") for j in range(many)]
+    hub = groups.withColumn("size", size).groupBy("gid", "size").agg(*least)
+    each = F.array_distinct(F.array(*(F.struct(f"h{j}.key", f"h{j}.n", f"h{j}.pos") for j in range(many))))
+    return hub.select("gid", F.explode(each).alias("h")).select("gid", "h.key", "h.n", "h.pos")
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +303,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     release(spark)
 
     join = _Join(rows.select("text_key", "text"), sets)
-    pairs = cut(candidates(groups, hubs(groups, 0)), "pairs")
+    prefixes = cut(groups.groupBy("key", "n").agg(F.collect_list("gid").alias("gids")), "prefixes")
+    pairs = cut(promising(candidates(groups, hubs(groups, 0)), prefixes), "pairs")
     links = join.verify(pairs)
     comps = cut(components(links), "components")
     members = groups.count()
@@ -302,9 +321,9 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         if last:
             more = candidates(open_, open_, other & (F.col("x.key") < F.col("y.key")))
         else:
-            chosen = hubs(open_, turn).join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+            chosen = hubs(open_, turn, HUBS).join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
             more = candidates(open_, chosen, other)
-        more = cut(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = cut(promising(more, prefixes).join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = join.verify(more)
         pairs = pairs.unionByName(more)
         if found.take(1):
