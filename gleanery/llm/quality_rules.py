@@ -162,4 +162,25 @@ def quality_filter(docs: DataFrame, *, text_col: str = "text", host_col: str = "
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("host_rate", F.round("host_rate", 6))
+
+
+_BLANK = "\\x20\\x09-\\x0D"
+SQL = f"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+{WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w WHERE len(w) >= {WINDOW}) x),
+twice AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT g.doc_id, unnest(range(g.i, g.i + {WINDOW})) AS p FROM g JOIN twice USING (doc_id, g)) x GROUP BY doc_id),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w) x WHERE regexp_matches(l, '[^{_BLANK}]') GROUP BY doc_id),
+m AS (SELECT w.doc_id, w.source AS host, len(w.w)::BIGINT AS n_words, length(regexp_replace(w.text, '[{_BLANK}]+', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+h AS (SELECT host, count(*)::DOUBLE AS n, sum(base_failed::INTEGER)::DOUBLE AS x FROM f WHERE host IS NOT NULL GROUP BY host),
+t AS (SELECT sum(n) AS n, sum(x) / sum(n) AS m, count(*) AS k, sum(x * x / n) - sum(x) / sum(n) * sum(x) AS spread, sum(n) - sum(n * n) / sum(n) AS room FROM h),
+b AS (SELECT m, CASE WHEN room > 0 THEN greatest(0.0, (spread - (k - 1) * m * (1 - m)) / room) ELSE 0.0 END AS between_ FROM t),
+p AS (SELECT m, CASE WHEN between_ > 0 THEN least({FLAT_STRENGTH}, greatest(0.0, m * (1 - m) / between_ - 1)) ELSE {FLAT_STRENGTH} END AS s FROM b),
+r AS (SELECT host, (x + m * s) / (n + s) AS rate FROM h, p)
+SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed, NOT f.base_failed AND coalesce(r.rate < {MAX_HOST_FAILURE}, TRUE) AS kept, f.host, round(r.rate, 6) AS host_rate, coalesce(r.rate < {MAX_HOST_FAILURE}, TRUE) AS host_ok
+FROM f LEFT JOIN r USING (host)
+"""

@@ -25,6 +25,7 @@ _OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for name, f in _OPERATORS.items()}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.SQL,
     "op2_mix_sources": mixing.SQL,
     "op7_warc_index": warc.SQL,
     "op8_substring_dedup": substring.SQL,
