@@ -232,3 +232,25 @@ def test_decontam_edges(spark):
     assert decontam.contaminated(frame(spark, rows).limit(0), bench).count() == 0
     hit = frame(spark, [(None, "x A, b! c d e y")] * 2)
     assert [(r.doc_id, r.item_id, r.score, r.first_word, r.last_word) for r in decontam.contaminated(hit, bench).collect()] == [(None, 1, 1.0, 1, 6)] * 2
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_no_alignment_avoids_the_seeds(spark, copies):
+    rng = random.Random(17)
+    items = [(i, " ".join(f"q{i}x{rng.randrange(500)}" for _ in range(60))) for i in range(30)]
+    docs = []
+    for i, text in items:
+        w, c = text.split(), text.split()
+        share = (0.2, 0.25, 0.3)[i % 3]
+        if i < 24:  # words replaced at random, or evenly
+            for j in rng.sample(range(60), int(60 * share)) if i < 12 else range(i % 3, 60, round(1 / share)):
+                c[j] = f"other{i}y{j}"
+        else:  # a word put in behind every word, or behind every second; every third word left out
+            c = [[x for v in w for x in (v, "um")][:-1], [x for j, v in enumerate(w) for x in ((v, "um") if j % 2 else (v,))], [v for j, v in enumerate(w) if j % 3]][i % 3]
+        docs += [(100 * i + n, " ".join([f"before{n}"] * 8 + c + ["after"] * 8)) for n in range(copies)]
+    split = lambda t: decontam.flat(t.encode()).split()
+    want = {d for d, t in docs if plain_alignment(split(items[d // 100][1]), split(t)) >= decontam.THRESHOLD * 60}
+    assert {d // 100 for d in want} >= {*range(0, 12, 3), 24, 25, 26}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, docs), bench).collect()} == {(d, d // 100) for d in want}
+    assert {r.doc_id for r in decontam.decontaminated(frame(spark, docs), bench).collect()} == {d for d, _ in docs} - want
