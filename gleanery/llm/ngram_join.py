@@ -10,6 +10,8 @@
 4. Groups are not expanded into all their pairs.  Members are first compared with a hub of their group; once links have
    merged classes into components, only pairs across components can still matter.  Hub rounds go on with other hubs while
    those pairs are many, and whatever is left is then compared in full, so no component is missed.
+5. Every link lies within a component.  Where the verified links of one are not all its pairs, its sets are dealt to blocks
+   by size and salt, and every two blocks whose sizes allow it are intersected in full, as a product of incidence matrices.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ NUM, DEN = 4, 5
 SKETCH = 1 << 20
 SEGMENTS = 64
 BUFFER_POSTINGS = 1_000_000
+#: A block of a component's sets for counting links holds about so many sets, and shingles, whichever is reached first.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 500_000
+_COLUMNS = 4096
 #: Hub rounds at most, before what is left is compared in full.
 HUB_ROUNDS = 2
 #: Hubs of a group and size class in each of them.
@@ -244,6 +249,61 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
 
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``x`` with all of ``y``."""
+    one, other = np.unique(np.concatenate(x)), np.unique(np.concatenate(y))
+    shared = np.intersect1d(one, other, assume_unique=True)
+    out = np.zeros((len(x), len(y)), np.float32)
+
+    def places(sets):
+        row, flat = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+        ok = shared[at] == flat
+        order = np.argsort(at[ok], kind="stable")
+        return row[ok][order], at[ok][order]
+
+    if len(shared):
+        (rx, cx), (ry, cy) = places(x), places(y)
+        for low in range(0, len(shared), _COLUMNS):
+            width = min(_COLUMNS, len(shared) - low)
+            parts = []
+            for rows, row, at in ((len(x), rx, cx), (len(y), ry, cy)):
+                a, b = np.searchsorted(at, (low, low + width))
+                part = np.zeros((rows, width), np.float32)
+                part[row[a:b], at[a:b] - low] = 1
+                parts.append(part)
+            out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of their pair of blocks: for each set the copies of the sets that are similar to it."""
+    d = zstandard.ZstdDecompressor()
+
+    def counted(rows):
+        sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
+        x, y = sides[0], sides[1] or sides[0]
+        if not x:
+            return
+        sx, sy = ([next(text_sets([d.decompress(r[3])])) for r in side] for side in (x, y))
+        nx, ny = (np.array([len(s) for s in side], np.int64) for side in (sx, sy))
+        alike = (NUM + DEN) * intersections(sx, sy) >= NUM * (nx[:, None] + ny[None, :])
+        if not sides[1]:
+            np.fill_diagonal(alike, False)
+        others = [alike @ np.array([r[2] for r in y], np.int64)] + ([np.array([r[2] for r in x], np.int64) @ alike] if sides[1] else [])
+        keys = [r[1] for r in (x + y if sides[1] else x)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(others), pa.int64())], names=["a", "others"])
+
+    now, held = None, []
+    for batch in batches:
+        for pair, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if pair != now:
+                yield from counted(held)
+                now, held = pair, []
+            held.append(row)
+    yield from counted(held)
+
+
 class _Join:
     def __init__(self, docs: DataFrame, sets: DataFrame):
         self.spark: SparkSession = docs.sparkSession
@@ -273,18 +333,51 @@ class _Join:
         return cut(both.mapInArrow(_verified, "a binary, b binary"), "links")
 
 
+    def linked(self, links: DataFrame, comps: DataFrame) -> DataFrame:
+        """``a`` and ``others``: the rows of all other sets that are similar to ``a``.  Sets without any may be missing."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        size = self.sets.where("n > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        known = both.groupBy("a").agg(F.count(F.lit(1)).alias("known"))
+        nodes = comps.join(size, comps["node"] == size["set_key"]).join(known, F.col("node") == known["a"], "left")
+        nodes = cut(nodes.select("root", "set_key", "n", "copies", F.coalesce("known", F.lit(0)).alias("known"), F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).alias("size")), "nodes")
+        whole = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("known").alias("known"))
+        part = cut(whole.where("known < m * (m - 1)").select("root"), "part")
+        copies = nodes.select(F.col("set_key").alias("b"), "root", "copies")
+        out = both.join(copies.join(part, "root", "left_anti"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+        if not part.take(1):
+            return out
+
+        nodes = nodes.join(part, "root", "left_semi")
+        blocks = nodes.groupBy("root", "size").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+        blocks = cut(blocks.select("root", "size", F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES)).alias("blocks")), "blocks")
+        each = blocks.select("root", "size", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("salt"))
+        x, y = each.alias("x"), each.alias("y")
+        on = (F.col("x.root") == F.col("y.root")) & (((F.col("x.size") == F.col("y.size")) & (F.col("x.salt") <= F.col("y.salt"))) | (F.col("x.size") + 1 == F.col("y.size")))
+        pair = F.concat_ws(" ", F.hex("x.root"), "x.size", "x.salt", "y.size", "y.salt")
+        sides = F.array_distinct(F.array(F.struct("x.size", "x.salt"), F.struct("y.size", "y.salt")))
+        sides = x.join(y, on).select(F.col("x.root").alias("root"), pair.alias("pair"), F.posexplode(sides).alias("side", "s")).select("root", "s.size", "s.salt", "pair", "side")
+        salt = F.pmod(F.xxhash64("set_key", F.lit("salt")), F.col("blocks")).cast("int").alias("salt")
+        placed = nodes.join(blocks, ["root", "size"]).select("root", "size", salt, "set_key", "copies")
+        sent = placed.join(self.texts.select("set_key", "z").dropDuplicates(["set_key"]), "set_key")
+        sides = cut(sides, "sides")
+        sent = sent.join(F.broadcast(sides) if sides.count() <= BROADCAST_ROWS else sides, ["root", "size", "salt"]).select("pair", "side", "set_key", "copies", "z")
+        found = sent.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_block_links, "a binary, others long")
+        return out.unionByName(found.groupBy("a").agg(F.sum("others").alias("others")))
+
+
 def short(key):
     """The first eight bytes of a set's key, as the postings have it."""
     return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
 
 
-def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of every row: ``id_col``, ``n_shingles``, ``component_id`` (least id reachable by links) and ``n_links``.
+def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
+    """Of every row: ``id_col``, ``n_shingles``, ``component_id`` (least id reachable by links) and ``n_links``, which is
+    neither counted nor returned without ``links``.
 
     Two rows link when their sets of lower-cased (A-Z) ``SHINGLE``-word shingles have a Jaccard similarity of
-    ``NUM/DEN`` or more; a text with fewer words is one shingle.  ``n_links`` counts the rows with the same set and those
-    of the sets that were verified as similar; within large groups that is a set of links that holds the component
-    together, not every pair.
+    ``NUM/DEN`` or more; a text with fewer words is one shingle.  ``n_links`` counts the other
+    rows that a row links with, all of them.
 
     * null and empty texts have no shingles, link with nothing and are their own component;
     * repeated rows and ids link like any equal texts; a null id is passed on and never becomes a ``component_id`` unless
@@ -305,8 +398,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     join = _Join(rows.select("text_key", "text"), sets)
     prefixes = cut(groups.groupBy("key", "n").agg(F.collect_list("gid").alias("gids")), "prefixes")
     pairs = cut(promising(candidates(groups, hubs(groups, 0)), prefixes), "pairs")
-    links = join.verify(pairs)
-    comps = cut(components(links), "components")
+    edges = join.verify(pairs)
+    comps = cut(components(edges), "components")
     members = groups.count()
     for turn in range(1, HUB_ROUNDS + 2):
         comp = comps.select(short(F.col("node")).alias("key"), short(F.col("root")).alias("comp")).groupBy("key").agg(F.min("comp").alias("comp"))
@@ -327,20 +420,22 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         found = join.verify(more)
         pairs = pairs.unionByName(more)
         if found.take(1):
-            links = links.unionByName(found)
-            comps = cut(components(links), "components")
+            edges = edges.unionByName(found)
+            comps = cut(components(edges), "components")
         if last:
             break
 
     each = sets.join(comps.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     named = each.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
-    size = sets.where("n > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"))
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    linked = both.join(size.withColumnRenamed("set_key", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    size = size.join(linked.withColumnRenamed("a", "set_key"), "set_key", "left").select("set_key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    out = each.join(named, "root", "left").join(size, "set_key", "left")
+    out = each.join(named, "root", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
+    columns = [F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id")]
+    if not links:
+        return out.select(*columns)
+    size = sets.where("n > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"))
+    linked = join.linked(edges, comps).withColumnRenamed("a", "set_key")
+    size = size.join(linked, "set_key", "left").select("set_key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return out.join(size, "set_key", "left").select(*columns, F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,7 +444,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Rows with a null id and texts without words stay.  Only ids that go are joined to whole rows.  Where an id repeats,
     one of its rows stays; that costs a shuffle of whole rows, made only if there are such ids.
     """
-    found = cut(ngram_join(docs, id_col=id_col, text_col=text_col).select(id_col, "component_id", "n_shingles"), "found")
+    found = cut(ngram_join(docs, id_col=id_col, text_col=text_col, links=False), "found")
     kept = anti_join(docs, found.where(F.col(id_col) != F.col("component_id")), id_col)
     ids = found.where("n_shingles > 0").where(F.col(id_col).isNotNull())
     if ids.groupBy(id_col).count().where("count > 1").take(1):

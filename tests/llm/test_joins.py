@@ -67,6 +67,38 @@ def test_components_match_brute_force(spark, monkeypatch, hub_rounds):
     assert got == brute_components(rows)
 
 
+def near_copies(sizes=(3, 12, 150), seed=5):
+    """Groups of near copies: a base and its tails, edited copies, and copies of copies that no longer all link."""
+    rng = random.Random(seed)
+    texts = []
+    for g, many in enumerate(sizes):
+        base = [f"g{g}w{i}" for i in range(80)]
+        texts += [base, base + [f"g{g}tail"], base + [f"g{g}other"]]
+        group = [base]
+        while len(group) < many - 2:
+            c = list(rng.choice(group))
+            for _ in range(rng.randint(1, 2)):
+                c[rng.randrange(len(c))] = f"g{g}n{rng.randrange(10**6)}"
+            group.append(c[: rng.randint(70, 80)])
+        texts += group[1:]
+    rows = [" ".join(t) for t in texts]
+    return list(enumerate(rows + rows[:2]))
+
+
+def brute_links(rows):
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    return {i: sum(5 * len(a & b) >= 4 * len(a | b) for j, b in sets.items() if j != i) for i, a in sets.items()}
+
+
+@pytest.mark.parametrize("block", [512, 20])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(nj, "BLOCK_SETS", block)
+    rows = near_copies()
+    got = nj.ngram_join(frame(spark, rows)).collect()
+    assert {r.doc_id: r.n_links for r in got} == brute_links(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
 def test_join_edges(spark):
     text = " ".join(f"t{i}" for i in range(40))
     rows = [(5, text), (5, text), (None, text), (7, None), (None, ""), (9, "")]
