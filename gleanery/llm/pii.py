@@ -2,13 +2,15 @@
 
 The tagger (a bidirectional LSTM with CRF transitions, trained here on labelled spans in generated text) reads overlapping
 windows of the whole text.  Each of its kinds holds a digit or an ``@``, and a span without one is never accepted, so
-windows without such a character cannot add anything and are not decoded: the result is the same as with them.  Spans of
-all windows of a text are reconciled together: those cut by a window's edge are left to the neighbour that holds them
-whole, and of overlapping ones the set of greatest total confidence stays.
+windows without such a character cannot add anything and are not decoded: the result is the same as with them.  Where a
+window's edge cuts a span, or a span is not accepted, and no neighbour's accepted span holds it, a wider window around it is
+decoded, until it is whole.  Spans of
+all windows of a text are reconciled together: of overlapping ones the set of greatest total confidence stays.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -195,7 +197,7 @@ def decoded(model: tg.Model, windows: list[tuple[int, int, np.ndarray]]) -> Iter
     trans = model.transitions()
     for b in range(0, len(windows), BATCH):
         part = windows[b : b + BATCH]
-        x = np.zeros((tg.WIDTH, len(part)), np.int64)
+        x = np.zeros((max(len(points) for *_, points in part), len(part)), np.int64)
         for j, (_, _, points) in enumerate(part):
             x[: len(points), j] = tg.codes(points)
         e = tg.emissions(model, x)
@@ -216,7 +218,7 @@ def decoded(model: tg.Model, windows: list[tuple[int, int, np.ndarray]]) -> Iter
                 stop = i + 1
                 while stop < len(t) and t[stop] == 2 * k + 2:
                     stop += 1
-                yield doc, tg.KINDS[k], start + i, start + stop, float(np.mean([p[q, n, t[q]] for q in range(i, stop)])), i == 0 and start > 0, stop == tg.WIDTH
+                yield doc, tg.KINDS[k], start + i, start + stop, float(np.mean([p[q, n, t[q]] for q in range(i, stop)])), i == 0 and start > 0, stop == len(t)
                 i = stop
 
 
@@ -244,16 +246,65 @@ def reconciled(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int,
     return out[::-1]
 
 
+def hopeless(kind: str, piece: str) -> bool:
+    """No span that holds this piece is acceptable as this kind."""
+    return kind in ("card", "phone") and sum(c in "0123456789" for c in piece) > 19 or kind == "ip" and ":" in piece and len(piece) > 39
+
+
+def widened(model: tg.Model, texts: list[str], cuts: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[int, str, int, int, float]]:
+    """Whole spans (text, kind, start, end, confidence) that overlap pieces cut by windows: pieces that touch are one, and
+    the window around them doubles its margin while its own edges cut what lies there."""
+    todo = [(doc, a, b, tg.WIDTH) for doc, pieces in cuts.items() for a, b in merged(pieces)]
+    while todo:
+        todo.sort(key=lambda t: t[2] - t[1] + 2 * t[3])
+        again: dict[int, list[tuple[int, int]]] = {}
+        margins: dict[int, int] = {}
+        while todo:
+            n = max(1, BATCH * tg.WIDTH // (todo[0][2] - todo[0][1] + 2 * todo[0][3]))
+            part, todo = todo[:n], todo[n:]
+            windows = []
+            for i, (doc, a, b, margin) in enumerate(part):
+                low = max(0, a - margin)
+                points = np.frombuffer(texts[doc][low : b + margin].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                windows.append((i, low, points))
+            for i, kind, x, y, p, left, right in decoded(model, windows):
+                doc, a, b, margin = part[i]
+                if x >= b or a >= y:
+                    continue
+                if not (left or (right and y < len(texts[doc]))):
+                    yield doc, kind, x, y, p
+                elif not hopeless(kind, texts[doc][x:y]):
+                    again.setdefault(doc, []).append((min(a, x), max(b, y)))
+                    margins[doc] = max(2 * margin, margins.get(doc, 0))
+        todo = [(doc, a, b, margins[doc]) for doc, pieces in again.items() for a, b in merged(pieces)]
+
+
+def merged(pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(pieces):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def find_private(texts: list[str], model: tg.Model) -> list[list[tuple[str, int, int]]]:
     """Base spans of every text, and tagged ones that overlap none of them."""
     out = [base_spans(t) if t else [] for t in texts]
-    windows, found = [], {}
+    windows, found, cuts = [], {}, {}
+
+    def keep(doc, kind, a, b, p):
+        if p >= CONFIDENCE and acceptable(kind, texts[doc][a:b]):
+            found.setdefault(doc, []).append((kind, a, b, p))
+            return True
+        return False
 
     def drain():
         for doc, kind, a, b, p, cut_left, cut_right in decoded(model, windows):
             inside = not (cut_left or (cut_right and b < len(texts[doc])))
-            if inside and p >= CONFIDENCE and acceptable(kind, texts[doc][a:b]):
-                found.setdefault(doc, []).append((kind, a, b, p))
+            if not (inside and keep(doc, kind, a, b, p)):  # what looks like a whole one may be a piece, too
+                cuts.setdefault(doc, []).append((a, b))
         windows.clear()
 
     for d, text in enumerate(texts):
@@ -264,6 +315,13 @@ def find_private(texts: list[str], model: tg.Model) -> list[list[tuple[str, int,
                 if len(windows) >= 8 * BATCH:
                     drain()
     drain()
+    open_ = {}
+    for d, pieces in cuts.items():
+        whole = merged([(a, b) for _, a, b, _ in found.get(d, ())] + [(a, b) for _, a, b in out[d]])
+        starts = [a for a, _ in whole]
+        open_[d] = [(a, b) for a, b in pieces if not (i := bisect.bisect_right(starts, a)) or whole[i - 1][1] < b]
+    for span in widened(model, texts, open_):
+        keep(*span)
     for d, spans in found.items():
         taken = [(a, b) for _, a, b in out[d]]
         out[d] += [(ADDED[k], a, b) for k, a, b in reconciled(spans) if not any(x < b and a < y for x, y in taken)]

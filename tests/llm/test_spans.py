@@ -127,6 +127,19 @@ def test_skipped_windows_would_add_nothing(model, monkeypatch):
     assert pii.find_private(texts, model) == few
 
 
+@pytest.mark.parametrize("kind, private", [("ip", "2001:0db8:85a3:1234:5678:8a2e:0370:7334"), ("email", "ediner.schungen.anderes @ reanderesin.ungheinand.example.com")])
+def test_spans_longer_than_the_overlap_of_windows(model, kind, private):
+    around = "there he and then another on the order of heed in the end " * 4
+    assert len(private) in (39, 60)
+    texts = [around[i:] + private + " " + around for i in range(pii.STRIDE)]
+    got = pii.find_private(texts, model)
+    assert [[(k, t[a:b]) for k, a, b in s] for t, s in zip(texts, got, strict=True)] == [[(f"tagged_{kind}", private)]] * pii.STRIDE
+
+
+def test_long_runs_are_decoded_in_linear_time(model):
+    assert pii.find_private(["7" * 60_000 + " " + "ab:" * 5_000], model) == [[]]
+
+
 def test_reconciled_takes_the_best_set():
     spans = [("phone", 0, 10, 0.9), ("card", 5, 20, 0.95), ("phone", 18, 30, 0.9), ("ip", 40, 50, 0.99), ("ip", 40, 50, 0.95)]
     got = pii.reconciled(spans)
