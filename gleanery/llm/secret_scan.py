@@ -55,14 +55,16 @@ CLASSES = (
 )
 KINDS = (*BASE_KINDS, *(c.kind for c in CLASSES))
 
-#: A flagged span is dropped when one of these matches what stands around it: up to 200 characters of its own word before
-#: it, 12 before that word and 12 after the span.
+#: A flagged span is dropped when one of these matches its own word: up to 200 characters before it and 12 after it.
 ALLOW = (
     r".*[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}.*",
     r".*EXAMPLE.*",
     r".*(?:0123456789|abcdefghij|ABCDEFGHIJ).*",
-    r".*(?:sha(?:1|256|384|512)[-:=]|commit |integrity=).*",
-    r".*(?:https?|ftp)://.*",
+)
+#: Or one of these what stands before its end: its own word, as above, and 12 characters before that word.
+ALLOW_BEFORE = (
+    r".*(?:sha(?:1|256|384|512)[-:=]|commit |integrity=)\S*",
+    r".*(?:https?|ftp)://\S*",
 )
 
 
@@ -116,13 +118,13 @@ def _long_words(text: str, least: int) -> Iterator[tuple[int, str]]:
         yield (a if points is None else int(points[a]) - 1), data[a:b].decode()
 
 
-def find_secrets(text: str, classes: Sequence[CharClass] = CLASSES, allow: Sequence[re.Pattern] = tuple(map(re.compile, ALLOW))) -> list[tuple[str, int, int]]:
+def find_secrets(text: str, classes: Sequence[CharClass] = CLASSES, allow: Sequence[re.Pattern] = tuple(map(re.compile, ALLOW)), before: Sequence[re.Pattern] = tuple(map(re.compile, ALLOW_BEFORE))) -> list[tuple[str, int, int]]:
     """Spans of ``text``.  All base spans stay; entropy spans are added where neither a base span nor an earlier class's
     span holds them, and no allow-list pattern does."""
     base: list[tuple[str, int, int]] = []
     if "=" in text or ":" in text:
         base += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
-    more: list[tuple[str, int, int, int]] = []
+    more: list[tuple[str, int, int, int, int]] = []
     for at, word in _long_words(text, 20):
         if "AKIA" in word:
             base += [("access", at + m.start(), at + m.end()) for m in _ACCESS.finditer(word) if m.end() - m.start() >= 20]
@@ -130,11 +132,12 @@ def find_secrets(text: str, classes: Sequence[CharClass] = CLASSES, allow: Seque
         for cls in classes:
             for m in cls.run.finditer(word):
                 if m.end() - m.start() >= cls.window:
-                    more += [(cls.kind, at + m.start() + a, at + m.start() + b, at) for a, b in hot_windows(m[0], cls)]
+                    more += [(cls.kind, at + m.start() + a, at + m.start() + b, at, at + len(word)) for a, b in hot_windows(m[0], cls)]
     taken = [(a, b) for _, a, b in base]
-    for kind, a, b, word_at in more:
-        around = text[max(0, word_at - 12, a - 200) : b + 12].replace("\n", " ")
-        if not any(x <= a and b <= y for x, y in taken) and not any(p.fullmatch(around) for p in allow):
+    for kind, a, b, word_at, word_end in more:
+        own = text[max(word_at, a - 200) : min(word_end, b + 12)]
+        ahead = text[max(0, word_at - 12, a - 200) : b].replace("\n", " ")
+        if not any(x <= a and b <= y for x, y in taken) and not any(p.fullmatch(own) for p in allow) and not any(p.fullmatch(ahead) for p in before):
             taken.append((a, b))
             base.append((kind, a, b))
     return base

@@ -77,6 +77,13 @@ def test_entropy_adds_and_allow_list_suppresses():
     assert kinds("losasmentementementemente internationalization") == []
 
 
+@pytest.mark.parametrize("around", ["{} https://x.org", "{},https://x.org", "https://x.org {}", "EXAMPLE {}", "{} EXAMPLE", "{} commit 1", "{}\nsha256: x", "0123456789 {}"])
+def test_words_beside_a_key_do_not_allow_it(around):
+    at = around.index("{}")
+    assert [t for t in ss.find_secrets(around.format(KEY)) if t[0].startswith("entropy") and at <= t[1] and t[2] <= at + len(KEY)]
+    assert not ss.find_secrets(f"commit {KEY}") and not ss.find_secrets(f"sha256:{KEY}") and not ss.find_secrets(f"{KEY}EXAMPLE")
+
+
 @pytest.fixture(scope="module")
 def model():
     return pii.trained()
