@@ -83,13 +83,14 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, *, pair_col: str
 def neighbour_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs from a table without preferences: conversation ``2i`` is chosen; rejected is the same up to its last
     assistant turn, then neighbour ``2i + 1`` from that one's last assistant turn on.  A conversation without an assistant
-    turn is kept or taken as it is."""
+    turn is kept or taken as it is; a turn without a number comes before the last one.  A conversation whose neighbour is
+    not in the table makes no pair and gives no row."""
     t = turns.select("conv_id", "turn", "role", "text").where("conv_id is not null")
     last = t.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"))
     t = t.join(last, "conv_id", "left").withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long"))
     even, odd = F.col("conv_id") % 2 == 0, F.col("conv_id") % 2 != 0
     named = lambda df: df.select("pair_id", "turn", "role", "text")
-    head = named(t.where(even & (F.col("last").isNull() | (F.col("turn") < F.col("last")))))
+    head = named(t.where(even & F.coalesce(F.col("turn") < F.col("last"), F.lit(True))))
     tail = t.where(odd & (F.col("last").isNull() | (F.col("turn") >= F.col("last")))).withColumn("turn", F.col("turn") + (1 << 32))
     paired = t.where(odd).select("pair_id").distinct()
     return named(t.where(even)), head.join(paired, "pair_id", "left_semi").unionByName(named(tail))
