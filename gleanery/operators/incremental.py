@@ -32,13 +32,16 @@ def append(index: Index, docs: DataFrame, *, size: int | None = None, overlap: i
     chunks = chunks.withColumns({"page_id": F.col("page_id") + last_page} | {c: F.col(c) + last_chunk for c in ("chunk_id", "prev_id", "next_id")})
     pages, chunks = storage.written(pages, "pages"), storage.written(chunks, "chunks")
     both = index.pages.unionByName(pages)
-    back = ix.links(index.pages, pages)
+    scheme = meta.get("link_scheme", ix.metadata.LINK_SCHEME)
+    back = ix.links(index.pages, pages, scheme)
+    terms, words, sizes = ix.text_tables(chunks)
     return Index(
         both,
         index.chunks.unionByName(chunks),
-        index.postings.unionByName(ix.postings(chunks)),
-        index.sizes.unionByName(ix.chunk_sizes(chunks)),
-        index.links.unionByName(ix.links(pages, both)).unionByName(back),
+        index.postings.unionByName(terms),
+        ix.merged_dictionaries(index.dictionary, words),
+        index.sizes.unionByName(sizes),
+        index.links.unionByName(ix.links(pages, both, scheme)).unionByName(back),
         index.vectors,
         ix.meta_table(index.spark, meta | {"pages": both.count()}),
     )
@@ -69,18 +72,20 @@ def embedder(make: Callable[[], Callable[[list[str]], list[list[float]]]], batch
 def embed_pending(index: Index, root: str, make: Callable, *, batch: int = 64, super_batch: int = 100_000) -> int:
     """Embed what is pending, ``super_batch`` chunks a commit; what a crash leaves undone is pending at the next call.
 
-    Vectors are appended as Parquet under ``root``, a folder a commit, so a failed commit leaves no rows that count.
+    Commits append to one folder, ``root``; a commit that fails leaves none of its rows there.  What is pending is found
+    once and written, so a commit reads its own chunks and nothing is joined again.
     """
     spark, done = index.spark, 0
-    todo = pending(index).withColumn("part", F.floor(F.col("chunk_id") / super_batch))
-    known = storage.exists(spark, root)
-    if known:
+    todo = pending(index)
+    if storage.exists(spark, root):
         todo = todo.join(spark.read.parquet(root).select("chunk_id").distinct(), "chunk_id", "left_anti")
-    for r in todo.select("part").distinct().orderBy("part").collect():
-        rows = todo.where(F.col("part") == r["part"]).select("chunk_id", "title", "body")
-        made = rows.mapInPandas(embedder(make, batch), "chunk_id long, vec array<float>")
-        made.write.mode("append").parquet(root)
-        done += 1
+    with storage.scope():
+        todo = storage.written(todo.withColumn("part", F.floor(F.col("chunk_id") / super_batch)), "pending")
+        for r in todo.select("part").distinct().orderBy("part").collect():  # a row a commit
+            rows = todo.where(F.col("part") == r["part"]).select("chunk_id", "title", "body")
+            made = rows.mapInPandas(embedder(make, batch), "chunk_id long, vec array<float>")
+            made.write.mode("append").parquet(root)
+            done += 1
     return done
 
 

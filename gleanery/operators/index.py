@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, fields
+from collections.abc import Iterator
+from dataclasses import dataclass, fields, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +25,7 @@ def dense_ids(df: DataFrame, order: Column, name: str) -> DataFrame:
     placed = storage.written(df.orderBy(order).withColumn("__at", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright("__at", 33)
     sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
-    first = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    first = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # a row a partition
     number = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1
     return placed.withColumn("__part", part).join(F.broadcast(first), "__part").withColumn(name, number.cast("long")).drop("__part", "__at", "__before")
 
@@ -54,25 +58,58 @@ def neighbours(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({"prev_id": F.lag("chunk_id").over(w), "next_id": F.lead("chunk_id").over(w)})
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (chunk_id, col, terms) rows: a row for each distinct term of a row, with its places in order."""
+    for batch in batches:
+        terms = batch.column(2)
+        flat = terms.flatten()
+        if not len(flat):
+            continue
+        coded = flat.dictionary_encode()
+        row = pc.list_parent_indices(terms).to_numpy()
+        code = coded.indices.to_numpy()
+        size = np.diff(np.asarray(terms.offsets))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        key = row.astype(np.int64) * len(coded.dictionary) + code
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
+        ends = np.append(first, len(order))
+        places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32()))
+        at = pa.array(row[order[first]])
+        yield pa.RecordBatch.from_arrays(
+            [coded.dictionary.take(pa.array(code[order[first]])), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.diff(ends), pa.int32()), places], names=["term", "chunk_id", "col", "n", "places"]
+        )
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """A row for every place of every term: term, chunk_id, col, pos."""
-    out = None
-    for name, code in COLUMNS.items():
-        one = chunks.select("chunk_id", F.lit(code).cast("tinyint").alias("col"), F.posexplode(text.index_terms(F.col(name))).alias("pos", "term"))
-        out = one if out is None else out.unionByName(one)
-    return out.select("term", "chunk_id", "col", "pos")
+    """A row for every distinct term of a chunk's column: term, chunk_id, col, how often, and where it stands.  Terms are
+    parted by JVM functions and gathered within their chunk, so nothing is shuffled."""
+    cols = F.array(*(F.struct(F.lit(code).cast("tinyint").alias("col"), text.index_terms(F.col(name)).alias("terms")) for name, code in COLUMNS.items()))
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.explode(cols).alias("c")).select("chunk_id", "c.col", "c.terms").where(F.size("terms") > 0)
+    return rows.mapInArrow(_grouped, "term string, chunk_id long, col tinyint, n int, places array<int>")
+
+
+def dictionary(postings: DataFrame) -> DataFrame:
+    """``term, df``: in how many chunks a term stands, in whichever column."""
+    return postings.groupBy("term").agg(F.count_distinct("chunk_id").alias("df"))
+
 
+def merged_dictionaries(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The dictionary of two sets of chunks that have no chunk in common."""
+    return old.unionByName(new).groupBy("term").agg(F.sum("df").alias("df"))
 
-def chunk_sizes(chunks: DataFrame) -> DataFrame:
-    """Terms of all columns of each chunk; no shuffle."""
-    return chunks.select("chunk_id", sum(F.size(text.index_terms(F.col(c))) for c in COLUMNS).alias("n_terms"))
 
+def chunk_sizes(postings: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Terms of all columns of each chunk, 0 for a chunk without any."""
+    n = postings.groupBy("chunk_id").agg(F.sum("n").alias("n_terms"))
+    return chunks.select("chunk_id").join(n, "chunk_id", "left").select("chunk_id", F.coalesce("n_terms", F.lit(0)).cast("int").alias("n_terms"))
 
-def links(pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(src, dst) of every Markdown link to another known page, with repeats."""
+
+def links(pages: DataFrame, known: DataFrame | None = None, scheme: str = metadata.LINK_SCHEME) -> DataFrame:
+    """(src, dst) of every Markdown link to another known page, with repeats; ``scheme`` is that of links between books."""
     known = pages if known is None else known
     out = pages.select(F.col("filename").alias("src"), F.explode(metadata.link_targets(F.col("body"))).alias("t"))
-    out = out.select("src", metadata.normal_target(F.col("t")).alias("dst")).where("dst is not null and dst <> src")
+    out = out.select("src", metadata.normal_target(F.col("t"), scheme).alias("dst")).where("dst is not null and dst <> src")
     return out.join(known.select(F.col("filename").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
@@ -81,6 +118,7 @@ class Index:
     pages: DataFrame
     chunks: DataFrame
     postings: DataFrame
+    dictionary: DataFrame
     sizes: DataFrame
     links: DataFrame
     vectors: DataFrame | None = None
@@ -125,14 +163,27 @@ def meta_table(spark: SparkSession, values: dict[str, str]) -> DataFrame:
 
 def with_ids(docs: DataFrame, *, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP) -> tuple[DataFrame, DataFrame]:
     """Pages numbered by the order of their names with extension, and chunks numbered by page and place."""
-    pages = dense_ids(pages_from(docs), F.concat("filename", F.lit(".md")), "id")
-    pages = storage.written(pages.select("id", *[c for c in pages.columns if c != "id"]), "pages")
-    chunks = dense_ids(chunk_table(pages, size=size, overlap=overlap), F.struct("page_id", "chunk_index"), "chunk_id")
-    return pages, storage.written(neighbours(chunks), "chunks")
+    with storage.scope():
+        pages = dense_ids(pages_from(docs), F.concat("filename", F.lit(".md")), "id")
+        pages = storage.written(pages.select("id", *[c for c in pages.columns if c != "id"]), "pages", keep=True)
+        chunks = dense_ids(chunk_table(pages, size=size, overlap=overlap), F.struct("page_id", "chunk_index"), "chunk_id")
+        return pages, storage.written(neighbours(chunks), "chunks", keep=True)
 
 
-def build(docs: DataFrame, *, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, params: dict[str, str] | None = None) -> Index:
+def build(docs: DataFrame, *, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, params: dict[str, str] | None = None, scheme: str = metadata.LINK_SCHEME) -> Index:
     """All tables of an index of (filename, text) rows. File names must be distinct."""
     pages, chunks = with_ids(docs, size=size, overlap=overlap)
-    meta = {"indexed_at": int(time.time()), "chunk_size": size, "chunk_overlap": overlap, "pages": pages.count()} | (params or {})
-    return Index(pages, chunks, storage.written(postings(chunks), "postings"), storage.written(chunk_sizes(chunks), "sizes"), storage.written(links(pages), "links"), None, meta_table(docs.sparkSession, meta))
+    meta = {"indexed_at": int(time.time()), "chunk_size": size, "chunk_overlap": overlap, "link_scheme": scheme, "pages": pages.count()} | (params or {})
+    return Index(pages, chunks, *text_tables(chunks), storage.written(links(pages, scheme=scheme), "links"), None, meta_table(docs.sparkSession, meta))
+
+
+def text_tables(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, dictionary and sizes of chunks."""
+    terms = storage.written(postings(chunks), "postings")
+    return terms, storage.written(dictionary(terms), "dictionary"), storage.written(chunk_sizes(terms, chunks), "sizes")
+
+
+def rebuild_text(index: Index, root: str) -> str:
+    """Publish the index anew with its full-text tables made again from its chunks; pages, links and vectors stay."""
+    terms, words, sizes = text_tables(index.chunks)
+    return replace(index, postings=terms, dictionary=words, sizes=sizes).publish(root)

@@ -43,15 +43,23 @@ def doc_index(spark: SparkSession, sf_dir: str) -> Index:
     name = F.concat("lang", F.lit("__doc."), F.col("doc_id").cast("string"))
     pages = d.select(F.col("doc_id").alias("id"), name.alias("filename"), F.split("text", "\n")[0].alias("title"), F.col("lang").alias("section"), F.col("source").alias("kind"), F.lit("").alias("description"), name.alias("source_path"), F.col("text").alias("body"))
     chunks = pages.select(F.col("id").alias("chunk_id"), F.col("id").alias("page_id"), "filename", "title", "description", "section", "kind", "source_path", "body", F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"))
-    return Index(pages, chunks, storage.written(ix.postings(chunks), "postings"), storage.written(ix.chunk_sizes(chunks), "sizes"), pages.select(F.col("filename").alias("src"), F.col("filename").alias("dst")).limit(0))
+    return Index(pages, chunks, *ix.text_tables(chunks), pages.select(F.col("filename").alias("src"), F.col("filename").alias("dst")).limit(0))
+
+
+def page_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index that a build makes of the documents as pages: numbered pages, chunks of lines with overlap."""
+    return ix.build(page_docs(spark, sf_dir).select("filename", "text"))
 
 
 def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a user might type for each benchmark item: the words it begins with, three of them if the second is short."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", TYPED, 1).alias("query"))
+    """Every benchmark item's whole text as a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-TYPED = r"^(\S+ \S{1,5} \S+|\S+ \S+)"
+def typed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short queries beside the whole ones: two neighbouring words of the first document in each of twenty classes."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"\s+").alias("w")).where(F.size("w") >= 6)
+    return d.groupBy((F.col("doc_id") % 20).alias("query_id")).agg(F.min_by("w", "doc_id").alias("w")).select("query_id", F.array_join(F.slice("w", 4, 2), " ").alias("query"))
 
 
 # --- SQL pieces ----------------------------------------------------------------------------------------------------
@@ -62,15 +70,44 @@ def sql_terms(x: str) -> str:
 
 
 STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-SQL_TOKENS = f"""
-asked AS (SELECT item_id, regexp_extract(text, '{TYPED}', 1) AS text FROM benchmark),
-raw AS (SELECT item_id AS query_id, text AS query, list_transform(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''), lambda t: lower(t)) AS t FROM asked),
+BENCH = "SELECT item_id AS query_id, text AS query FROM benchmark"
+TYPED = """SELECT doc_id % 20 AS query_id, array_to_string(arg_min(w, doc_id)[4:5], ' ') AS query FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS w FROM documents) x WHERE len(w) >= 6 GROUP BY 1"""
+
+
+def sql_tokens(asked: str) -> str:
+    return f"""
+asked AS ({asked}),
+raw AS (SELECT query_id, query, list_transform(list_filter(regexp_split_to_array(query, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''), lambda t: lower(t)) AS t FROM asked),
 dist AS (SELECT query_id, query, list_filter(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_position(t, t[i]) = i THEN t[i] END), lambda x: x IS NOT NULL) AS t FROM raw),
 toks AS (SELECT query_id, query, CASE WHEN len(t) > 1 AND len(list_filter(t, lambda x: x NOT IN ({STOPS}))) > 0 THEN list_filter(t, lambda x: x NOT IN ({STOPS})) ELSE t END AS t FROM dist)"""
 
-SQL_SEARCH = f"""
-WITH {SQL_TOKENS},
-chunk AS (SELECT doc_id AS chunk_id, lang || '__doc.' || doc_id::VARCHAR AS id, split_part(text, chr(10), 1) AS title, lang AS section, source AS kind, text AS body FROM documents),
+
+DOC_CHUNKS = "chunk AS (SELECT doc_id AS chunk_id, lang || '__doc.' || doc_id::VARCHAR AS id, split_part(text, chr(10), 1) AS title, lang AS section, source AS kind, text AS body, 0 AS chunk_index, 1 AS total_chunks FROM documents)"
+
+# lines are folded one by one: a long one is cut in pieces laid from its end, others are gathered and the next chunk
+# begins again with the last lines that fit in the overlap (``back``)
+CUT_CHUNKS = f"""lines AS (SELECT doc_id, p - 1 AS i, length(l[p]) AS n, sum(length(l[p]) + 1) OVER w - length(l[p]) - 1 AS a FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE length(text) > {chunking.SIZE}) x) y WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+line AS (SELECT *, least(i - 1, min(i) OVER (PARTITION BY doc_id ORDER BY a RANGE BETWEEN {chunking.OVERLAP} PRECEDING AND CURRENT ROW)) AS back FROM lines),
+fold AS (SELECT doc_id, 0 AS i, 0 AS first, NULL::BIGINT AS chunk_from, NULL::BIGINT AS chunk_to FROM lines WHERE i = 0
+  UNION ALL SELECT f.doc_id, f.i + 1, CASE WHEN n > {chunking.SIZE} THEN f.i + 1 WHEN f.first < f.i AND l.a + l.n + 1 - b.a > {chunking.SIZE} THEN greatest(f.first, l.back) ELSE f.first END,
+    CASE WHEN f.first < f.i AND (n > {chunking.SIZE} OR l.a + l.n + 1 - b.a > {chunking.SIZE}) THEN b.a END, CASE WHEN f.first < f.i AND (n > {chunking.SIZE} OR l.a + l.n + 1 - b.a > {chunking.SIZE}) THEN l.a - 1 END
+  FROM fold f JOIN line l ON l.doc_id = f.doc_id AND l.i = f.i JOIN (SELECT doc_id, i, a FROM lines) b ON b.doc_id = f.doc_id AND b.i = f.first),
+spans AS (SELECT doc_id, chunk_from AS x, chunk_to AS y FROM fold WHERE chunk_from IS NOT NULL
+  UNION ALL SELECT f.doc_id, b.a, length(d.text) FROM (SELECT doc_id, max(i) AS i, arg_max(first, i) AS first FROM fold GROUP BY doc_id) f JOIN lines b ON b.doc_id = f.doc_id AND b.i = f.first JOIN documents d ON d.doc_id = f.doc_id
+  UNION ALL SELECT doc_id, a + greatest(0, n - {chunking.SIZE} - j * {chunking.SIZE - chunking.OVERLAP}), a + n - j * {chunking.SIZE - chunking.OVERLAP} FROM (SELECT *, unnest(range(0, 1 + ceil((n - {chunking.SIZE}) / {chunking.SIZE - chunking.OVERLAP}.0)::BIGINT)) AS j FROM lines WHERE n > {chunking.SIZE}) z
+  UNION ALL SELECT doc_id, 0, length(text) FROM documents WHERE length(text) <= {chunking.SIZE}),
+cuts AS (SELECT s.doc_id, row_number() OVER (PARTITION BY s.doc_id ORDER BY x, y) - 1 AS chunk_index, count(*) OVER (PARTITION BY s.doc_id) AS total_chunks, substring(d.text, x::BIGINT + 1, (y - x)::BIGINT) AS body FROM spans s JOIN documents d USING (doc_id))"""
+
+PAGE_CHUNKS = f"""{CUT_CHUNKS},
+chunk AS (SELECT row_number() OVER (ORDER BY filename || '.md', chunk_index) AS chunk_id, filename AS id, filename AS title, section, 'member' AS kind, body, chunk_index::INTEGER AS chunk_index, total_chunks::INTEGER AS total_chunks
+  FROM (SELECT c.*, d.lang || '__doc.' || d.doc_id::VARCHAR AS filename, 'objects' AS section FROM cuts c JOIN documents d USING (doc_id)) x)"""
+
+
+def sql_search(asked: str = BENCH, chunk: str = DOC_CHUNKS, where: str = "TRUE") -> str:
+    """All stages, for the chunks that ``chunk`` makes, of which ``where`` allows some."""
+    return f"""
+WITH RECURSIVE {sql_tokens(asked)},
+{chunk},
 lists AS (SELECT chunk_id, 0 AS col, 9.0 AS wt, {sql_terms("title")} AS l FROM chunk UNION ALL SELECT chunk_id, 2, 1.0, {sql_terms("body")} FROM chunk),
 post AS (SELECT chunk_id, col, wt, l[p] AS term, p - 1 AS pos FROM (SELECT chunk_id, col, wt, l, unnest(range(1, len(l) + 1)) AS p FROM lists) x),
 size AS (SELECT chunk_id, sum(len(l))::DOUBLE AS d FROM lists GROUP BY chunk_id),
@@ -88,7 +125,8 @@ w AS (SELECT query_id, i, CASE WHEN ln((c.n - ns.n + 0.5) / (ns.n + 0.5)) > 0 TH
 pw AS (SELECT query_id, i, CASE WHEN ln((c.n - ns.n + 0.5) / (ns.n + 0.5)) > 0 THEN ln((c.n - ns.n + 0.5) / (ns.n + 0.5)) ELSE 1e-6 END AS w FROM pns ns, corpus c),
 part AS (SELECT query_id, h.i, any_value(h.k) AS k, h.chunk_id, sum(h.wt) AS f, sum(CASE WHEN col = 0 THEN h.wt ELSE 0 END) AS ft FROM hits h GROUP BY query_id, h.i, h.chunk_id),
 scored AS (SELECT p.query_id, p.i, p.k, p.chunk_id, p.ft, -w.w * p.f * 2.2 / (p.f + 1.2 * (0.25 + 0.75 * s.d / c.mean)) AS a, -w.wtitle * p.ft * 2.2 / (p.ft + 1.2 * (0.25 + 0.75 * s.d / c.mean)) AS t FROM part p JOIN w USING (query_id, i) JOIN size s USING (chunk_id), corpus c),
-both_ AS (SELECT query_id, i, k, chunk_id, a AS s, 4 AS first FROM scored UNION ALL SELECT query_id, i, k, chunk_id, t, 1 FROM scored WHERE ft > 0),
+may AS (SELECT chunk_id FROM chunk WHERE {where}),
+both_ AS (SELECT query_id, i, k, chunk_id, a AS s, 4 AS first FROM scored SEMI JOIN may USING (chunk_id) UNION ALL SELECT query_id, i, k, chunk_id, t, 1 FROM scored SEMI JOIN may USING (chunk_id) WHERE ft > 0),
 sums AS (SELECT query_id, first, chunk_id, any_value(k) AS k, count(*) AS m, sum(s) AS s, sum(i) AS si FROM both_ GROUP BY query_id, first, chunk_id),
 drops AS (SELECT x.query_id, x.first, x.chunk_id, j.j, x.s - coalesce(b.s, 0) AS s FROM sums x JOIN range(0, 4) j(j) ON j.j < x.k LEFT JOIN both_ b ON b.query_id = x.query_id AND b.first = x.first AND b.chunk_id = x.chunk_id AND b.i = j.j WHERE x.k >= 2 AND (x.m = x.k OR (x.m = x.k - 1 AND b.i IS NULL))),
 best AS (SELECT query_id, first, j, row_number() OVER (PARTITION BY query_id, first ORDER BY count(*) DESC, j) AS r FROM drops GROUP BY query_id, first, j),
@@ -97,10 +135,10 @@ begin_ AS (SELECT a.query_id, a.first, a.chunk_id, a.col, a.pos, any_value(a.k)
 close_ AS (SELECT DISTINCT f.query_id, f.first, f.chunk_id, f.i, f.col, f.pos, f.wt FROM full_ f JOIN begin_ g ON f.query_id = g.query_id AND f.first = g.first AND f.chunk_id = g.chunk_id AND f.col = g.col AND f.pos BETWEEN g.pos AND g.pos + 5 * g.k + 4),
 nearf AS (SELECT query_id, first, chunk_id, i, sum(wt) AS f FROM close_ GROUP BY query_id, first, chunk_id, i),
 near_ AS (SELECT n.query_id, n.first, n.chunk_id, sum(-(CASE WHEN n.first = 1 THEN w.wtitle ELSE w.w END) * n.f * 2.2 / (n.f + 1.2 * (0.25 + 0.75 * s.d / c.mean))) AS s FROM nearf n JOIN w USING (query_id, i) JOIN size s USING (chunk_id), corpus c GROUP BY n.query_id, n.first, n.chunk_id),
-ppart AS (SELECT query_id, i, chunk_id, sum(wt) AS f FROM prehits GROUP BY query_id, i, chunk_id),
+ppart AS (SELECT query_id, i, chunk_id, sum(wt) AS f FROM prehits SEMI JOIN may USING (chunk_id) GROUP BY query_id, i, chunk_id),
 psum AS (SELECT p.query_id, p.chunk_id, sum(-w.w * p.f * 2.2 / (p.f + 1.2 * (0.25 + 0.75 * s.d / c.mean))) AS s FROM ppart p JOIN pw w USING (query_id, i) JOIN size s USING (chunk_id), corpus c GROUP BY p.query_id, p.chunk_id),
 rawq AS (SELECT query_id, list_transform(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> ''), lambda x: lower(x)) AS r FROM toks),
-subs AS (SELECT q.query_id, c.chunk_id, len(list_filter(q.r, lambda x: NOT contains(lower(c.title), x))) = 0 AS titled FROM rawq q JOIN chunk c ON len(q.r) > 0 AND (len(list_filter(q.r, lambda x: NOT contains(lower(c.title), x))) = 0 OR len(list_filter(q.r, lambda x: NOT contains(lower(c.body), x))) = 0)),
+subs AS (SELECT q.query_id, c.chunk_id, len(list_filter(q.r, lambda x: NOT contains(lower(c.title), x))) = 0 AS titled FROM rawq q JOIN chunk c ON len(q.r) > 0 AND {where} AND (len(list_filter(q.r, lambda x: NOT contains(lower(c.title), x))) = 0 OR len(list_filter(q.r, lambda x: NOT contains(lower(c.body), x))) = 0)),
 stages AS (
   SELECT query_id, first AS stage, chunk_id, s AS score FROM near_
   UNION ALL SELECT query_id, first + 1, chunk_id, s FROM sums WHERE m = k
@@ -110,11 +148,16 @@ stages AS (
   UNION ALL SELECT query_id, 9, chunk_id, 1e9 FROM subs WHERE titled
   UNION ALL SELECT query_id, 10, chunk_id, 1e9 FROM subs)"""
 
-SQL_FOUND = f"""{SQL_SEARCH},
+SQL_SEARCH = sql_search()
+
+
+def sql_found(searched: str = SQL_SEARCH, limit: int = 10, per_page: int = 2) -> str:
+    return f"""{searched},
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage, round(score, 9), chunk_id) AS pos FROM stages),
-top AS (SELECT * FROM placed WHERE pos <= 10),
-once AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS n FROM top),
-found AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank, stage, chunk_id, score FROM once WHERE n = 1)"""
+once AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS n FROM placed WHERE pos <= {limit}),
+capped AS (SELECT o.*, c.id, row_number() OVER (PARTITION BY query_id, c.id ORDER BY pos) AS of_page FROM once o JOIN chunk c USING (chunk_id) WHERE n = 1),
+found AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank, stage, chunk_id, score FROM capped WHERE of_page <= {per_page})"""
+
 
 STAGES = {1: "fts_title_near", 2: "fts_title_and", 3: "fts_title_backoff", 4: "fts_near", 5: "fts_and", 6: "fts_backoff", 7: "fts_or", 8: "fts_prefix"}
 
@@ -122,8 +165,8 @@ STAGES = {1: "fts_title_near", 2: "fts_title_and", 3: "fts_title_backoff", 4: "f
 def _stage(n: int):
     def run(spark, sf_dir):
         idx = doc_index(spark, sf_dir)
-        found = fts.ladder(idx, fts.query_terms(idx, bench_queries(spark, sf_dir)))
-        return found.where(F.col("stage") == n).select("query_id", "chunk_id", (F.round("score", 5) + 0.0).alias("score"))
+        terms = storage.written(fts.query_terms(idx, bench_queries(spark, sf_dir)), "terms")
+        return fts.ladder(idx, terms, stages=(n,)).select("query_id", "chunk_id", (F.round("score", 5) + 0.0).alias("score"))
 
     return run
 
@@ -138,7 +181,7 @@ def fts_substring(spark, sf_dir):
     return fts.substring_hits(doc_index(spark, sf_dir), bench_queries(spark, sf_dir)).select("query_id", "stage", "chunk_id")
 
 
-@query(f"{SQL_FOUND}\nSELECT f.query_id, f.rank::INTEGER AS rank, f.stage::INTEGER AS stage, c.id, c.title, f.chunk_id, round(f.score, 5) + 0.0 AS score FROM found f JOIN chunk c USING (chunk_id)")
+@query(f"{sql_found()}\nSELECT f.query_id, f.rank::INTEGER AS rank, f.stage::INTEGER AS stage, c.id, c.title, f.chunk_id, round(f.score, 5) + 0.0 AS score FROM found f JOIN chunk c USING (chunk_id)")
 def fts_search(spark, sf_dir):
     found = fts.search(doc_index(spark, sf_dir), bench_queries(spark, sf_dir), limit=10)
     return found.select("query_id", "rank", "stage", "id", "title", "chunk_id", (F.round("score", 5) + 0.0).alias("score"))
@@ -149,6 +192,32 @@ def fts_query_terms(spark, sf_dir):
     return fts.query_terms(doc_index(spark, sf_dir), bench_queries(spark, sf_dir)).select("query_id", F.col("i").cast("int"), F.col("k").cast("int"), "term")
 
 
+_SHOWN = "f.query_id, f.rank::INTEGER AS rank, f.stage::INTEGER AS stage, c.id, f.chunk_id, c.chunk_index, c.total_chunks, round(f.score, 5) + 0.0 AS score"
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "rank", "stage", "id", "chunk_id", F.col("chunk_index").cast("int"), F.col("total_chunks").cast("int"), (F.round("score", 5) + 0.0).alias("score"))
+
+
+@query(f"{sql_found(sql_search(chunk=PAGE_CHUNKS), 30)}\nSELECT {_SHOWN} FROM found f JOIN chunk c USING (chunk_id)")
+def fts_pages(spark, sf_dir):
+    """Pages of several chunks, as a build cuts them, at most two chunks of a page."""
+    return _shown(fts.search(page_index(spark, sf_dir), bench_queries(spark, sf_dir), limit=30))
+
+
+@query(f"{sql_found(sql_search(TYPED))}\nSELECT {_SHOWN} FROM found f JOIN chunk c USING (chunk_id)")
+def fts_typed(spark, sf_dir):
+    """Two words, as one might type them: frequent terms, near one another or not."""
+    return _shown(fts.search(doc_index(spark, sf_dir), typed_queries(spark, sf_dir)))
+
+
+@query(f"""{sql_found(sql_search(where="section = 'en' AND kind = (SELECT min(kind) FROM chunk)"))}\nSELECT {_SHOWN} FROM found f JOIN chunk c USING (chunk_id)""")
+def fts_filtered(spark, sf_dir):
+    """Within a section and a kind."""
+    idx = doc_index(spark, sf_dir)
+    return _shown(fts.search(idx, bench_queries(spark, sf_dir), section="en", kind=idx.chunks.agg(F.min("kind")).first()[0]))
+
+
 # --- tokens and names ----------------------------------------------------------------------------------------------
 
 
@@ -160,11 +229,11 @@ def terms_per_document(spark, sf_dir):
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({sql_terms('text')}) AS term FROM documents) x GROUP BY term")
 def term_document_frequency(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(text.index_terms(F.col("text")))).alias("term"))
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("").alias("title"), F.lit("").alias("description"), F.col("text").alias("body"))
+    return ix.dictionary(ix.postings(chunks))
 
 
-@query(f"WITH {SQL_TOKENS} SELECT query_id, array_to_string(t, ' ') AS tokens FROM toks")
+@query(f"WITH {sql_tokens(BENCH)} SELECT query_id, array_to_string(t, ' ') AS tokens FROM toks")
 def query_tokens(spark, sf_dir):
     return bench_queries(spark, sf_dir).select("query_id", F.array_join(text.query_tokens(F.col("query")), " ").alias("tokens"))
 
@@ -246,20 +315,24 @@ def page_ids(spark, sf_dir):
     return ix.dense_ids(page_docs(spark, sf_dir).select("filename", "doc_id"), F.concat("filename", F.lit(".md")), "id").select("id", "doc_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {CUT_CHUNKS} SELECT doc_id AS page_id, chunk_index::INTEGER AS chunk_index, body, total_chunks::INTEGER AS total_chunks FROM cuts")
 def chunk_table(spark, sf_dir):
-    """Tested against a fold over lines; a fold with overlap is beyond plain SQL."""
     return chunking.chunks(page_docs(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.col("text").alias("body")))
 
 
+@query(f"WITH RECURSIVE {PAGE_CHUNKS} SELECT chunk_id, id, chunk_index, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id, length(body)::INTEGER AS chars, CASE WHEN total_chunks = 1 THEN 'page' ELSE 'chunk' END AS src FROM chunk WINDOW w AS (PARTITION BY id ORDER BY chunk_index)")
+def built_chunks(spark, sf_dir):
+    return page_index(spark, sf_dir).chunks.select("chunk_id", F.col("filename").alias("id"), "chunk_index", "prev_id", "next_id", "chars", "src")
+
+
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 n AS (SELECT doc_id, line, length(line) AS n FROM l WHERE length(line) > 1500)
 SELECT doc_id, n::INTEGER AS n, greatest(1, ceil((n - 1500) / 1300.0)::INTEGER + 1)::INTEGER AS pieces, (n - 1500 - 1300 * (ceil((n - 1500) / 1300.0)::INTEGER) + 1500)::INTEGER AS first_length FROM n""")
 def chunk_long_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > chunking.SIZE)
-    n, step = F.length("line"), chunking.SIZE - chunking.OVERLAP
-    more = F.ceil((n - chunking.SIZE) / step).cast("int")
-    return lines.select("doc_id", n.alias("n"), (more + 1).alias("pieces"), (n - step * more).alias("first_length"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.length("line") > chunking.SIZE)
+    cut = chunking.chunks(lines.select(F.struct("doc_id", "at", F.length("line").alias("n")).alias("page_id"), F.col("line").alias("body")))
+    each = cut.groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("pieces"), F.min(F.when(F.col("chunk_index") == 0, F.length("body"))).alias("first_length"))
+    return each.select("page_id.doc_id", "page_id.n", "pieces", "first_length")
 
 
 @query("SELECT doc_id AS chunk_id, lag(doc_id) OVER w AS prev_id, lead(doc_id) OVER w AS next_id FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
@@ -325,14 +398,14 @@ _LISTS = """lists AS (SELECT source AS query_id, 0 AS list_no, row_number() OVER
   UNION ALL SELECT source, 1, row_number() OVER (PARTITION BY source ORDER BY length(regexp_replace(text, '[^e]', '', 'g')) DESC, doc_id), doc_id FROM documents)"""
 
 
-@query(f"WITH {_LISTS}, f AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS fused, min(list_no * 1000000000 + rank) AS first FROM lists WHERE rank <= 40 GROUP BY query_id, doc_id) SELECT query_id, doc_id, round(fused, 9) AS fused FROM f")
+@query(f"WITH {_LISTS}, f AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS fused, min(list_no * 1000000000 + rank) AS first FROM lists GROUP BY query_id, doc_id) SELECT query_id, doc_id, round(fused, 9) AS fused FROM f")
 def rank_fusion(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     w = fts.Window.partitionBy("query_id")
     rows = d.select(F.col("source").alias("query_id"), "doc_id", "n_chars", F.length(F.regexp_replace("text", "[^e]", "")).alias("e"))
     a = rows.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")), "list_no": F.lit(0)})
     b = rows.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("e"), "doc_id")), "list_no": F.lit(1)})
-    both = a.unionByName(b).where("rank <= 40").select("query_id", "doc_id", "list_no", "rank")
+    both = a.unionByName(b).select("query_id", "doc_id", "list_no", "rank")
     return hybrid.fuse(both, ("doc_id",)).select("query_id", "doc_id", F.round("fused", 9).alias("fused"))
 
 
@@ -381,15 +454,15 @@ def upserted_rows(spark, sf_dir):
 # --- HTML and file names -------------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS title FROM pages")
-def html_titles(spark, sf_dir):
-    h = F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.btrim(F.regexp_replace(h, "<[^>]+>", ""), F.lit(" \t\r\n")).alias("title"))
-
-
 def _book(spark, sf_dir) -> DataFrame:
     path = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1), "/$", "")
-    return table(spark, sf_dir, "pages").select(F.lit("b").alias("book"), F.lit("").alias("prefix"), F.concat(path, F.lit("_"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.replace("html", F.lit("<h1>"), F.lit('<h1 class="V8SH_pagetitle">')).alias("page"))
+    return table(spark, sf_dir, "pages").select(F.lit("b").alias("book"), F.lit("").alias("prefix"), F.concat(path, F.lit("_"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.replace("html", F.lit("<h1>"), F.lit(f'<h1 class="{html.PAGE_TITLE}">')).alias("page"))
+
+
+@query("SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', chr(160)), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13)) AS title FROM pages")
+def html_titles(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<h1>"), F.lit(f'<h1 class="{html.PAGE_TITLE}">')).alias("page"))
+    return pages.select("page_id", html.unescaped(html.quick_title(F.col("page"))).alias("title"))
 
 
 @query()

@@ -2,25 +2,75 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 POINTER = "CURRENT"
+#: A table of at most so many rows of a few plain columns may be broadcast; above it the join shuffles.
+BROADCAST_ROWS = 100_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; where it is unset, one under /tmp."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (at or Path("/tmp/checkpoints/gleanery").as_uri()).rstrip("/")
+    """The folder in ``spark.checkpoint.dir``, which all executors share.  Where it is unset, one under /tmp on a single
+    machine; on a cluster, where executors would each write to a disk of their own, that is an error."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = Path("/tmp/checkpoints/gleanery").as_uri()
+    return at.rstrip("/")
+
+
+_open = threading.local()
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Tables :func:`written` within are deleted at its end, when their last reader is done; a result that is to be read
+    later is written with ``keep``, which makes it a table of the scope around."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    mine: list[tuple[SparkSession, str]] = []
+    scopes.append(mine)
+    try:
+        yield
+    finally:
+        scopes.remove(mine)
+        for spark, path in mine:
+            drop(spark, path)
+
+
+def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    """``df`` written once and read back: later stages neither compute it again nor lose it with an executor, and Spark
+    knows its true size when it picks a join.  Outside any :func:`scope` it lives until the driver's JVM ends."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    scopes = _open.__dict__.get("scopes", ())
+    if len(scopes) > keep:
+        scopes[-1 - keep].append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back, so that later stages neither compute it again nor guess its size."""
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A folder of the work directory that nothing uses yet; whatever is there when the driver's JVM ends is deleted."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, jpath = _fs(spark, path)
+    fs.mkdirs(jpath)
+    fs.deleteOnExit(jpath)
+    fs.delete(jpath, True)
+    return path
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table, marked for a broadcast if it has at most ``rows`` rows, which are counted."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def _fs(spark: SparkSession, path: str):
