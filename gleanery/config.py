@@ -10,6 +10,8 @@ from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 from pathlib import Path
 
+from gleanery.functions.metadata import LINK_SCHEME
+
 PREFIX = "GLEANERY_"
 TRUE = ("1", "true", "yes", "on")
 
@@ -62,6 +64,12 @@ class Config:
     corpus: str = "data/corpus"
     index: str = "data/index"
     lang: str = "ru"
+    link_scheme: str = LINK_SCHEME
+    containers: str = ""
+    tool: str = ""
+    tool_prefix: str = "edtcli__"
+    utilities: str = ""
+    utility_prefix: str = "v8cli__"
     sources: list[Source] = field(default_factory=list)
     search: Search = field(default_factory=Search)
     build: Build = field(default_factory=Build)

@@ -364,6 +364,57 @@ def page_lookup(spark, sf_dir):
     return retrieval.lookups(idx, asked).select(F.col("pos").alias("doc_id"), "filename")
 
 
+@query(f"""WITH RECURSIVE {PAGE_CHUNKS}, page AS (SELECT id, max(total_chunks) AS total_chunks, max(CASE WHEN chunk_index = 0 THEN body END) AS head FROM chunk GROUP BY id)
+SELECT d.doc_id, p.total_chunks, length(d.text)::INTEGER AS chars, p.total_chunks > 1 OR length(d.text) > 4000 AS truncated, CASE WHEN p.total_chunks > 1 OR length(d.text) > 4000 THEN p.head ELSE d.text END AS shown
+FROM documents d JOIN page p ON p.id = d.lang || '__doc.' || d.doc_id::VARCHAR""")
+def page_bodies(spark, sf_dir):
+    """What a request for every page gives: a long page's first chunk, else all of it."""
+    idx = page_index(spark, sf_dir)
+    asked = idx.pages.select(F.col("id").alias("pos"), F.col("filename").alias("ident"))
+    shown = retrieval.page_bodies(idx, retrieval.lookups(idx, asked))
+    return shown.select(F.substring_index("filename", ".", -1).cast("long").alias("doc_id"), F.col("total_chunks").cast("int"), F.col("chars").cast("int"), "truncated", "shown")
+
+
+_HEADED = "(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'x' || chr(10) || '#   About ' || source || '  ' || chr(10) WHEN 1 THEN '#' || chr(10) || '## ' || lang || chr(10) ELSE '' END || text AS t, lang || '__' || doc_id::VARCHAR || '.md' AS filename, source FROM documents) x"
+
+
+@query(f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'About ' || source ELSE regexp_replace(filename, '\\.md$', '') END AS title FROM {_HEADED}")
+def page_titles(spark, sf_dir):
+    """The first heading of the first rank, wherever it stands, else the file's stem."""
+    n, d = F.col("doc_id") % 3, table(spark, sf_dir, "documents")
+    head = F.when(n == 0, F.concat(F.lit("x\n#   About "), "source", F.lit("  \n"))).when(n == 1, F.concat(F.lit("#\n## "), "lang", F.lit("\n"))).otherwise("")
+    return d.select("doc_id", metadata.title(F.concat(head, "text"), F.concat("lang", F.lit("__"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("title"))
+
+
+_PLAIN = "regexp_replace(split_part(text, chr(10), 1), '[^a-z]+', ' ', 'g')"
+
+
+@query(f"SELECT doc_id, regexp_replace(trim(lang || ' see ' || source || ' b a ' || {_PLAIN} || CASE WHEN doc_id % 2 = 0 THEN ' more ' || lang ELSE '' END), ' +', ' ', 'g') AS description FROM documents")
+def page_descriptions(spark, sf_dir):
+    """Documents with description sections: a bold head with a tail of its own, links, bold words, and a second section."""
+    plain = F.regexp_replace(F.split("text", "\n")[0], "[^a-z]+", " ")
+    more = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Описание варианта:\n\nmore\n"), "lang", F.lit("\n---\nbehind a rule\n"))).otherwise("")
+    page = F.concat(F.lit("# x\n\n**Описание:** "), "lang", F.lit("\n\nsee ["), "source", F.lit("](a.md#b)\nb **a** "), plain, F.lit("\n\nСинтаксис:\nnot this\n\n"), more, F.lit("Пример:\nnor "), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", metadata.description(page).alias("description"))
+
+
+@query("""SELECT p_partkey, s || chr(10) || regexp_replace(regexp_replace(x, '([\\p{Ll}\\p{Nd}])(\\p{Lu})', '\\1 \\2', 'g'), '(\\p{Lu})(\\p{Lu}\\p{Ll})', '\\1 \\2', 'g') AS expanded
+FROM (SELECT p_partkey, array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), '') AS x, 'one (' || array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), '') || ') two' AS s FROM part) y WHERE contains(p_partkey::VARCHAR, '') AND regexp_matches(x, '[a-z][A-Z]')
+UNION ALL SELECT p_partkey, 'one (' || array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), '') || ') two' FROM part WHERE NOT contains(p_type, ' ')""")
+def expanded_identifiers(spark, sf_dir):
+    glued = F.replace(F.initcap("p_type"), F.lit(" "), F.lit(""))
+    return table(spark, sf_dir, "part").select("p_partkey", text.expanded(F.concat(F.lit("one ("), glued, F.lit(") two"))).alias("expanded"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'page_' || page_id::VARCHAR ELSE 'T ' || page_id::VARCHAR || CASE page_id % 3 WHEN 1 THEN ' (x)' ELSE '' END END AS first, CASE page_id % 3 WHEN 0 THEN 'Other' ELSE '' END AS other FROM pages")
+def two_names(spark, sf_dir):
+    """Titles in two languages; what stands behind the last bracket is no second name."""
+    n, num = F.col("page_id") % 3, F.col("page_id").cast("string")
+    title = F.when(n == 0, F.concat(F.lit("page_"), num, F.lit(" (Other) "))).when(n == 1, F.concat(F.lit("T "), num, F.lit(" (x)"))).otherwise(F.concat(F.lit("T "), num))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(n == 1, F.concat(title, F.lit(" ()"))).otherwise(title).alias("title"))
+    return pages.select("page_id", html.both_names(F.col("title")).alias("t")).select("page_id", "t.first", "t.other")
+
+
 # --- vectors and fusion --------------------------------------------------------------------------------------------
 
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -388,6 +439,22 @@ def vector_top_k_filtered(spark, sf_dir):
     return found.select("query_id", "chunk_id", "pos", F.round("score", 6).alias("score"))
 
 
+_BOOKS = f"""WITH v AS (SELECT vec_id, embedding, label, vec_id % 2 AS half FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, b.label, {_DOT} AS s FROM v a JOIN v b ON b.half = 1 WHERE a.vec_id % 5 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS pos FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY pos) AS n FROM r WHERE pos <= 40),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM c WHERE n <= 2)
+SELECT query_id, rank::INTEGER AS rank, 'book' || label::VARCHAR AS id, chunk_id, round(s, 6) AS score FROM f WHERE rank <= 10"""
+
+
+@query(_BOOKS)
+def vector_search(spark, sf_dir):
+    """Vectors as chunks of ten books: within a section, at most two chunks of a book."""
+    v = _vectors(spark, sf_dir).withColumn("filename", F.concat(F.lit("book"), F.col("label").cast("string")))
+    chunks = v.select("chunk_id", "filename", F.col("filename").alias("title"), F.lit("").alias("source_path"), F.when(F.col("chunk_id") % 2 == 1, "odd").otherwise("even").alias("section"), F.lit("page").alias("kind"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"))
+    idx = Index(chunks, chunks, chunks, chunks, chunks, chunks, v.select("chunk_id", "vec"))
+    asked = v.where("chunk_id % 5 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
+    return vector.search(idx, asked, limit=10, section="odd").select("query_id", "rank", "id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT vec_id, round(list_dot_product(e, e), 6) AS norm2, round(e[1], 6) AS x FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v: v / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings) y")
 def vector_unit(spark, sf_dir):
     u = vector.unit(F.col("embedding"))

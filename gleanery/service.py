@@ -15,7 +15,7 @@ from gleanery.config import Config
 from gleanery.operators import fts, hybrid, incremental, retrieval, vector
 from gleanery.operators import index as ix
 from gleanery.operators.index import Index
-from gleanery.sources import markdown
+from gleanery.sources import corpus, discovery
 from gleanery.sources.embedding import EmbeddingError, Service
 
 
@@ -117,42 +117,74 @@ class Engine:
 
     def discover(self) -> dict:
         there = storage.current_version(self.spark, self.config.index) is not None
-        return {"config": self.config.to_dict(), "index": {"exists": there} | (self.index().stats() if there else {})}
+        return {"installations": discovery.installations(), "config": self.config.to_dict(), "index": {"exists": there} | (self.index().stats() if there else {})}
 
     # --- builds and settings ---
 
     def _params(self, config: Config) -> dict[str, str]:
         b, e = config.build, config.embedder.index
-        return {"chunk_size": str(b.chunk_size), "chunk_overlap": str(b.chunk_overlap), "embed_model": e.model, "embed_dims": str(e.dims)}
+        return {"chunk_size": str(b.chunk_size), "chunk_overlap": str(b.chunk_overlap), "embed_model": e.model, "embed_dims": str(e.dims), "link_scheme": config.link_scheme}
 
-    def build_now(self, *, force: bool = False, say=lambda stage: None, docs: DataFrame | None = None, **settings) -> dict:
-        """Build the index from the corpus (or ``docs``) with settings of this build alone; skipped if nothing changed."""
+    def build_now(self, *, force: bool = False, say=lambda stage: None, docs: DataFrame | None = None, sources: list[str] | None = None, lang: str | None = None, **settings) -> dict:
+        """Build the index from the sources (else the corpus folder, or ``docs``) with settings of this build alone; skipped
+        if nothing changed.  ``failed`` lists what could not be read or converted."""
         config = Config()
         config.update(self.config.to_dict())
         config.update({"build": config.build.__dict__ | settings})
-        own = docs is None
-        docs = markdown.read(self.spark, config.corpus) if own else docs
-        say("hash")
-        rows = docs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("filename", "text").cast("decimal(38,0)"))).first()
-        params = self._params(config) | {"corpus": f"{rows[0]}:{rows[1]}"}
-        if not force and storage.current_version(self.spark, config.index) is not None:
-            old = self.index()
-            meta = {r["key"]: r["value"] for r in old.meta.collect()} if old.meta is not None else {}
-            if incremental.up_to_date(meta, params):
-                return {"skipped": True} | old.stats()
-        say("index")
-        made = ix.build(docs, size=config.build.chunk_size, overlap=config.build.chunk_overlap, params=params)
+        own, failed = docs is None, []
+        with storage.scope():
+            if own:
+                say("convert")
+                docs, failed = corpus.consolidated(self.spark, config, lang, sources)
+            say("hash")
+            rows = docs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("filename", "text").cast("decimal(38,0)"))).first()
+            params = self._params(config) | {"corpus": f"{rows[0]}:{rows[1]}"}
+            if not force and storage.current_version(self.spark, config.index) is not None:
+                old = self.index()
+                meta = {r["key"]: r["value"] for r in old.meta.collect()} if old.meta is not None else {}
+                if incremental.up_to_date(meta, params):
+                    return {"skipped": True, "failed": failed} | old.stats()
+            say("index")
+            made = ix.build(docs, size=config.build.chunk_size, overlap=config.build.chunk_overlap, params=params, scheme=config.link_scheme)
+            self._embed(made, config, params["corpus"], say)
+            say("publish")
+            made.publish(config.index)
+        if config.build.cleanup and own and not config.sources_for(lang, sources):
+            storage.drop(self.spark, config.corpus)
+        return {"skipped": False, "failed": failed} | self.index().stats()
+
+    def _embed(self, made: Index, config: Config, mark: str, say) -> None:
         e = config.embedder.index
         if e.complete:
             say("embed")
-            at = f"{config.index}/vectors-{params['corpus'].replace(':', '-')}-{e.model.replace('/', '_')}-{config.build.chunk_size}-{config.build.chunk_overlap}"
+            at = f"{config.index}/vectors-{mark.replace(':', '-')}-{e.model.replace('/', '_')}-{config.build.chunk_size}-{config.build.chunk_overlap}"
             incremental.embed_pending(made, at, Service(e.model, e.base_url, e.api_key, e.dims, e.batch_size, e.threads, e.provider or "openai").client(), batch=e.batch_size)
-            made.vectors = self.spark.read.parquet(at).dropDuplicates(["chunk_id"])
-        say("publish")
-        made.publish(config.index)
-        if config.build.cleanup and own:
-            storage.drop(self.spark, config.corpus)
-        return {"skipped": False} | self.index().stats()
+            new = self.spark.read.parquet(at).dropDuplicates(["chunk_id"])
+            made.vectors = new if made.vectors is None else made.vectors.unionByName(new)
+
+    def add_source(self, id: str, *, embed: bool = True, say=lambda stage: None) -> dict:
+        """Convert one book and add its pages to the published index; pages that are there stay as they are."""
+        mine = [s for s in self.config.sources if s.id == id]
+        if not mine:
+            raise LookupError(f"no such source: {id}")
+        with storage.scope():
+            say("convert")
+            pages, failed = corpus.books(self.spark, mine, self.config.containers or discovery.newest(), self.config.link_scheme)
+            old = self.index()
+            say("index")
+            grown = incremental.append(old, pages)
+            if grown is not old:
+                if embed:
+                    self._embed(grown, self.config, f"{id}-{storage.current_version(self.spark, self.config.index)}", say)
+                say("publish")
+                grown.publish(self.config.index)
+        return {"failed": failed} | self.index().stats()
+
+    def rebuild_text(self) -> dict:
+        """Publish the index with its full-text tables made anew."""
+        with storage.scope():
+            ix.rebuild_text(self.index(), self.config.index)
+        return self.index().stats()
 
     def build(self, *, force: bool = False, **settings) -> dict:
         job = self.jobs.start(lambda say: self.build_now(force=force, say=say, **settings))

@@ -20,13 +20,14 @@ def follow(spark: SparkSession, folder: str, root: str, checkpoint: str, *, fmt:
 
     def take(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        if storage.current_version(session, root) is None:
-            ix.build(batch.dropDuplicates(["filename"])).publish(root)
-            return
-        old = ix.Index.read(session, root)
-        new = incremental.append(old, batch)
-        if new is not old:
-            new.publish(root)
+        with storage.scope():
+            if storage.current_version(session, root) is None:
+                ix.build(batch.dropDuplicates(["filename"])).publish(root)
+                return
+            old = ix.Index.read(session, root)
+            new = incremental.append(old, batch)
+            if new is not old:
+                new.publish(root)
 
     stream = spark.readStream.format(fmt).schema("filename string, text string").load(folder)
     writer = stream.where(F.col("filename").isNotNull()).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)

@@ -1,15 +1,19 @@
 import io
 import json
 import struct
+import threading
+import time
+import urllib.request
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from gleanery import storage
+from gleanery import serve, storage
 from gleanery.config import Config
 from gleanery.operators.index import Index
 from gleanery.service import Engine
-from gleanery.sources import container, embedding, html, markdown, transcripts
+from gleanery.sources import container, discovery, embedding, html, markdown, transcripts
 from gleanery.streaming import ingest
 
 
@@ -60,7 +64,28 @@ def test_markdown_rendering():
     assert got.startswith("# Имя\n\n## Part\n\nSee [B\\<T\\>](B.md#x), C and [E](http://e.org).")
     assert "- one\n- two" in got and "| h |\n| --- |\n| a\\|b |" in got and "no()" not in got and "```\nx  y\n```" in got
     assert html.decode("Привет".encode("cp1251")) == "Привет"
-    assert html.two_names("Имя (Name)") == ("Имя", "Name")
+    assert html.two_names("Имя (Name) ") == ("Имя", "Name") and html.two_names("a (b) c") == ("a (b) c", "") and html.two_names("f(x) (g)") == ("f(x)", "g")
+    assert html.primitive("lang__def_Null.md") and html.primitive("x/lang__Дата.md") and not html.primitive("lang__other.md")
+    assert html.mended('<a HREF = http://e.org/x?id = "12">t</a><a href="y?z=1">') == '<a data-broken-href="12">t</a><a href="y?z=1">'
+    assert html.mended('<a href=http://e.org/x>t</a> "q"') == '<a href=http://e.org/x>t</a> "q"'
+    assert html.tidy("a\n[ Методическая информация\nsee 1centerprise.com/devlinks\nb") == "a\nb\n"
+    assert html.link_path("other:SyntaxHelperContext/a\\b.html#x", "p", "other") == ("find", "a/b.html", "x")
+
+
+def test_page_files(spark):
+    rows = [("a.html", b"x"), ("a.css", b"<html>"), ("noext", b"\xef\xbb\xbf<!DOCTYPE html>"), ("noext2", b"text"), ("b.HTM", b"")]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    assert [r.path for r in df.where(html.is_page(F.col("path"), F.col("content"))).collect()] == ["a.html", "noext", "b.HTM"]
+
+
+def test_discovery(tmp_path):
+    for v, sub in (("8.3.9.1", "bin"), ("8.3.25.10", ""), ("8.5", "bin")):
+        (tmp_path / v / sub).mkdir(parents=True)
+        (tmp_path / v / sub / ("x.hbk" if v != "8.5" else "x.txt")).touch()
+    assert [x["version"] for x in discovery.installations([tmp_path])] == ["8.3.25.10", "8.3.9.1"]
+    assert discovery.newest([tmp_path]).endswith("8.3.25.10") and discovery.newest([tmp_path / "none"]) is None
+    assert discovery.version("v8.5.1.1423") == (8, 5, 1, 1423) and discovery.version("") is None
+    assert discovery.dotted_version("1C 8.2 (8.2.19.130)") == (8, 2, 19, 130) and discovery.dotted_version("1C") is None
 
 
 def test_conversion_resolves_forward_links(spark):
@@ -79,7 +104,12 @@ def test_transcripts():
     assert transcripts.summary('Варианты вызова:\n1. export\n\nВариант 1:\nexport --p\n    Экспортирует проект.\n', "export") == "Экспортирует проект."
     assert transcripts.status_codes("Общие коды состояний:\n\n0\n    Норма.\n\n200\n    Ошибка.\n") == [("0", "Норма."), ("200", "Ошибка.")]
     assert transcripts.modes("Поддерживаемые режимы:\n  help    - помощь\n  infobase  - базы\n\nДалее") == [("infobase", "базы")]
+    assert transcripts.modes("Поддерживаемые режимы:\nhelp    помощь\ninfobase  базы данных\n\nДалее нет") == [("infobase", "базы данных")]
+    assert transcripts.usages("Текст\n8.3.25 сборка\nИспользование:\n  cmd a") == ["cmd a"]
     assert transcripts.decode("ok".encode("utf-16-le")) == "ok" and transcripts.decode("привет".encode("utf-16")) == "привет"
+    utility = transcripts.ToolHelp("rac", overview="Поддерживаемые режимы:\ncluster  кластер\n", topics={"cluster": "help of it"})
+    made = transcripts.render_utilities([utility], "u__")
+    assert sorted(made) == ["u__index", "u__rac", "u__rac-cluster"] and "(u__rac-cluster) — кластер" in made["u__rac"] and "help of it" in made["u__rac-cluster"]
     pages = transcripts.render(transcripts.ToolHelp("tool", "1", "modes", {"export": "1. export\n"}, "0\n  ok\n"), "t__")
     assert "(t__export)" in pages["t___index"] and "1. `export`" in pages["t__export"] and "- **0** — ok" in pages["t__status-codes"]
 
@@ -136,11 +166,60 @@ def test_service_builds_publishes_and_answers(spark, tmp_path):
     assert engine.get_page(["Array", "Map"])["returned"] == 2 and engine.related("Map")["incoming"] == ["Array"]
     job = engine.build(force=True)
     while engine.build_status(job["job_id"])["status"] == "running":
-        pass
+        time.sleep(0.2)
     assert engine.build_status(job["job_id"])["status"] == "done"
     assert Index.read(spark, config.index).pages.count() == 2
 
 
+def test_build_from_containers_and_service(spark, tmp_path):
+    books = tmp_path / "books"
+    books.mkdir()
+    (books / "one.hbk").write_bytes(small_container())
+    (books / "two.hbk").write_bytes(small_container())
+    (books / "bad.hbk").write_bytes(b"\xff" * 64)
+    config = Config(corpus=f"file://{tmp_path}/none", index=f"file://{tmp_path}/index", containers=str(books), link_scheme="other")
+    config.update({"sources": [{"id": "one", "container": "one.hbk", "prefix": "one__"}, {"id": "bad", "container": "bad.hbk"}, {"id": "two", "container": "two.hbk", "prefix": "two__", "lang": "en"}]})
+    engine = Engine(spark, config)
+    call = serve.Protocol(serve.Tools(engine, str(tmp_path / "c.toml")))
+    ask = lambda name, **args: json.loads(call.called(name, args)["content"][0]["text"])
+    with pytest.raises(LookupError):
+        engine.build_now(sources=["nowhere"])
+    job = ask("build", sources=["one", "bad"], lang="ru")
+    while ask("build_status", job_id=job["job_id"])["status"] == "running":
+        time.sleep(0.2)
+    done = ask("build_status", job_id=job["job_id"])
+    assert done["status"] == "done" and done["pages"] == 1 and len(done["failed"]) == 1 and done["failed"][0].startswith("bad: NotImplemented")
+    assert [r["id"] for r in ask("search", query="T")["results"]] == ["one__a__b"]
+    assert engine.add_source("two")["pages"] == 2 and engine.rebuild_text()["pages"] == 2
+    assert ask("discover")["index"]["meta"]["link_scheme"] == "other" and ask("hierarchy")["sections"] == [{"section": "objects", "count": 2}]
+    assert ask("config_set", values={"search.limit": 3})["search"]["limit"] == 3 and Config.load(tmp_path / "c.toml", {}).search.limit == 3
+    assert call.called("get_page", {"id": "nowhere"})["isError"] and call.called("nothing", {})["isError"]
+
+    sink = io.StringIO()
+    lines = [{"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {}}, {"jsonrpc": "2.0", "method": "notifications/initialized"}, {"jsonrpc": "2.0", "id": 2, "method": "tools/list"}, {"jsonrpc": "2.0", "id": 3, "method": "none"}]
+    serve.over_streams(call, io.StringIO("\n".join(map(json.dumps, lines)) + "\nbroken\n"), sink)
+    said = [json.loads(x) for x in sink.getvalue().splitlines()]
+    assert said[0]["result"]["serverInfo"]["name"] == "gleanery" and {t["name"] for t in said[1]["result"]["tools"]} == set(serve.TOOLS)
+    assert said[1]["result"]["tools"][0]["inputSchema"]["required"] == ["query"] and said[2]["error"]["code"] == -32601 and said[3]["error"]["code"] == -32700
+    server = serve.over_http(call, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    post = urllib.request.Request(f"http://127.0.0.1:{server.server_port}", json.dumps({"jsonrpc": "2.0", "id": 9, "method": "tools/call", "params": {"name": "get_page", "arguments": {"id": ["one__a__b", "gone"]}}}).encode())
+    got = json.loads(urllib.request.urlopen(post, timeout=60).read())
+    server.shutdown()
+    assert json.loads(got["result"]["content"][0]["text"])["missing"] == ["gone"]
+
+
+def test_work_folder_is_shared_and_left_empty(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "work_dir", lambda _: f"file://{tmp_path}/work")
+    with storage.scope():
+        a = storage.written(spark.range(3), "a")
+        with storage.scope():
+            storage.written(spark.range(3), "b")
+            c = storage.written(a, "c", keep=True)
+        assert c.count() == 3
+    assert list((tmp_path / "work").iterdir()) == []
+
+
 def test_stream_follows_a_folder(spark, tmp_path):
     src, root = tmp_path / "in", f"file://{tmp_path}/index"
     src.mkdir()

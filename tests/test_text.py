@@ -85,6 +85,23 @@ def test_descriptions():
     assert metadata.describe("без секций") == ""
 
 
+@pytest.mark.parametrize(
+    ("line", "ends"),
+    [("---", True), ("Синтаксис:", True), ("Вариант синтаксиса: x", True), ("**Имя**", True), ("**Имя:** текст", True), ("**:**", True), ("****", False), ("слово", False), ("1 пункт:", False), ("- пункт:", False), ("а:б", False), ("слово б: в:", False), ("x " + "y" * 70 + ":", False), (":", False)],
+)
+def test_section_ends(line, ends):
+    assert metadata.ends_section(line) is ends
+
+
+def test_description_heads():
+    assert metadata.head_tail("  **Описание варианта метода:** Текст") == "Текст"
+    assert metadata.head_tail("ОПИСАНИЕ :") == "" and metadata.head_tail("Описание формы:") is None and metadata.head_tail("Описание") is None
+
+
+def test_scheme_is_a_parameter(spark):
+    assert one(spark, metadata.normal_target(F.col("t"), "other"), t="other://SyntaxHelperQueries/a.html") == "query__a"
+
+
 def test_chunks_by_hand():
     assert chunking.chunk_text("short") == ["short"]
     assert [len(c) for c in chunking.chunk_text("x" * 4000)] == [1400, 1500, 1500]
