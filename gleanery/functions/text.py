@@ -43,8 +43,8 @@ STOP_WORDS = tuple(
 
 
 def folded(text: Column) -> Column:
-    """Lower case, without Latin accents and combining marks."""
-    return F.lower(F.translate(F.regexp_replace(text, MARKS, ""), ACCENTED, PLAIN))
+    """Lower case, without Latin accents and combining marks; a text in ASCII has none."""
+    return F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(F.regexp_replace(text, MARKS, ""), ACCENTED, PLAIN)).otherwise(text))
 
 
 def index_terms(text: Column) -> Column:
@@ -87,9 +87,19 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def all_within(text: Column, tokens: Column) -> Column:
+    return bound(F.lower(text), lambda low: F.forall(tokens, lambda t: F.contains(low, F.lower(t))))
+
+
 def snippet(body: Column, title: Column, query: Column) -> Column:
     """Around the first token that is found in the body, else in the title, else the body's start, else the title."""
     tokens = raw_tokens(query)
-    first = lambda text: F.get(F.filter(F.transform(tokens, lambda t: around(text, t)), lambda s: s.isNotNull() & (s != "")), F.lit(0))
+    found = lambda text: bound(F.lower(text), lambda low: F.get(F.filter(tokens, lambda t: F.contains(low, F.lower(t))), F.lit(0)))
+    first = lambda text: around(text, found(text))
     start = stripped(F.substring(body, 1, 120))
     return F.coalesce(first(body), first(title), F.when(start != "", start).otherwise(stripped(title)))

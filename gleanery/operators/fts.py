@@ -255,8 +255,7 @@ def search(index: Index, queries: DataFrame, *, limit: int = 10, per_page: int =
     found = heads.join(storage.small(top), "chunk_id")
     kept = thinned(found, per_page)
     token = F.lower(F.get(text.raw_tokens(F.col("query")), F.lit(0)))
-    in_title = F.forall(text.raw_tokens(F.col("query")), lambda t: F.contains(F.lower("title"), F.lower(t)))
-    in_body = F.forall(text.raw_tokens(F.col("query")), lambda t: F.contains(F.lower("body"), F.lower(t)))
+    in_title, in_body = (text.all_within(F.col(c), text.raw_tokens(F.col("query"))) for c in ("title", "body"))
     window = F.coalesce(F.when(in_body, text.around(F.col("body"), token)).otherwise(text.around(F.col("description"), token)), F.col("title"))
     shown = F.when(F.col("stage") <= 8, text.snippet(F.col("body"), F.col("title"), F.col("query"))).when(in_title, F.col("title")).otherwise(window)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))

@@ -59,39 +59,42 @@ def neighbours(chunks: DataFrame) -> DataFrame:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (chunk_id, col, terms) rows: a row for each distinct term of a row, with its places in order."""
+    """Of rows of a chunk's id and the terms of each of its columns: a row for each distinct term of a column, with its
+    places in order; ``first`` marks one of a term's rows in a chunk."""
     for batch in batches:
-        terms = batch.column(2)
-        flat = terms.flatten()
+        lists = batch.columns[1:]
+        flat = pa.concat_arrays([x.flatten() for x in lists])
         if not len(flat):
             continue
         coded = flat.dictionary_encode()
-        row = pc.list_parent_indices(terms).to_numpy()
-        code = coded.indices.to_numpy()
-        size = np.diff(np.asarray(terms.offsets))
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        key = row.astype(np.int64) * len(coded.dictionary) + code
+        row = np.concatenate([pc.list_parent_indices(x).to_numpy() for x in lists]).astype(np.int64)
+        col = np.repeat(np.fromiter(COLUMNS.values(), np.int8), [len(x.flatten()) for x in lists])
+        sizes = [pc.list_value_length(x).to_numpy() for x in lists]
+        place = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes])
+        term = row * len(coded.dictionary) + coded.indices.to_numpy()
+        key = term * len(COLUMNS) + col
         order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
-        ends = np.append(first, len(order))
+        start = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
+        ends, head = np.append(start, len(order)), order[start]
+        first = np.concatenate([[True], np.diff(term[head]) > 0])
         places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32()))
-        at = pa.array(row[order[first]])
         yield pa.RecordBatch.from_arrays(
-            [coded.dictionary.take(pa.array(code[order[first]])), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.diff(ends), pa.int32()), places], names=["term", "chunk_id", "col", "n", "places"]
+            [coded.dictionary.take(coded.indices.take(pa.array(head))), batch.column(0).take(pa.array(row[head])), pa.array(col[head]), pa.array(np.diff(ends), pa.int32()), pa.array(first), places],
+            names=["term", "chunk_id", "col", "n", "first", "places"],
         )
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """A row for every distinct term of a chunk's column: term, chunk_id, col, how often, and where it stands.  Terms are
-    parted by JVM functions and gathered within their chunk, so nothing is shuffled."""
-    cols = F.array(*(F.struct(F.lit(code).cast("tinyint").alias("col"), text.index_terms(F.col(name)).alias("terms")) for name, code in COLUMNS.items()))
-    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.explode(cols).alias("c")).select("chunk_id", "c.col", "c.terms").where(F.size("terms") > 0)
-    return rows.mapInArrow(_grouped, "term string, chunk_id long, col tinyint, n int, places array<int>")
+    """A row for every distinct term of a chunk's column: term, chunk_id, col, how often, whether it is the first of the
+    term's rows in the chunk, and where it stands.  Terms are parted by JVM functions and gathered within their chunk, so
+    nothing is shuffled."""
+    terms = [text.index_terms(F.col(name)).alias(name) for name in COLUMNS]
+    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), *terms).mapInArrow(_grouped, "term string, chunk_id long, col tinyint, n int, first boolean, places array<int>")
 
 
 def dictionary(postings: DataFrame) -> DataFrame:
     """``term, df``: in how many chunks a term stands, in whichever column."""
-    return postings.groupBy("term").agg(F.count_distinct("chunk_id").alias("df"))
+    return postings.where("first").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def merged_dictionaries(old: DataFrame, new: DataFrame) -> DataFrame:
