@@ -217,6 +217,7 @@ def test_work_folder_is_shared_and_left_empty(spark, tmp_path, monkeypatch):
             storage.written(spark.range(3), "b")
             c = storage.written(a, "c", keep=True)
         assert c.count() == 3
+    storage.discard(storage.written(spark.range(3), "d"))
     assert list((tmp_path / "work").iterdir()) == []
 
 
