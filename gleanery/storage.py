@@ -55,7 +55,14 @@ def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     if len(scopes) > keep:
         scopes[-1 - keep].append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by :func:`written`; its last reader is done."""
+    drop(df.sparkSession, df.written_at)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
