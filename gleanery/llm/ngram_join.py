@@ -22,12 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm import textkit as tk
 from gleanery.llm.components import components
-from gleanery.llm.tables import BROADCAST_ROWS, anti_join, cut, release
+from gleanery.llm.tables import anti_join, cut, has_key, key_bits, release, scope, small, spread_join
 
 SHINGLE = 5
 #: The threshold as a fraction: similar when 5 * both >= 4 * either.
@@ -42,6 +42,8 @@ _COLUMNS = 4096
 HUB_ROUNDS = 2
 #: Hubs of a group and size class in each of them.
 HUBS = 16
+#: Members of a block of a group, where all its pairs are looked at.
+GROUP_BLOCK = 2000
 
 
 def enough(nx: int, ny: int) -> int:
@@ -186,31 +188,60 @@ def candidates(left: DataFrame, right: DataFrame, more=None) -> DataFrame:
 def promising(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Pairs whose prefixes have enough shingles in common: of two similar sets, the one whose prefix ends first in the
     common order shares with the other only what both prefixes show and what its own suffix holds."""
-    x = prefixes.select(F.col("key").alias("a"), F.col("n").alias("nx"), F.col("gids").alias("gx"))
-    y = prefixes.select(F.col("key").alias("b"), F.col("n").alias("ny"), F.col("gids").alias("gy"))
+    x = prefixes.select(F.col("key").alias("a"), F.col("n").alias("nx"), F.col("gids").alias("gx"), F.col("extra").alias("ex"))
+    y = prefixes.select(F.col("key").alias("b"), F.col("n").alias("ny"), F.col("gids").alias("gy"), F.col("extra").alias("ey"))
     both = pairs.join(x, "a").join(y, "b")
-    within = lambda p, q: F.size(F.filter(p, lambda g: F.array_contains(q, g)))
-    shared = F.greatest(within(F.col("gx"), F.col("gy")), within(F.col("gy"), F.col("gx")))
+    shared = F.size(F.array_intersect("gx", "gy")) + F.least("ex", "ey")  # what a prefix holds twice counts twice
     suffix = F.ceil(F.greatest("nx", "ny") * NUM / DEN).cast("int") - 1
     return both.where((NUM + DEN) * (shared + suffix) >= NUM * (F.col("nx") + F.col("ny"))).select("a", "b")
 
 
+def size_class(n: Column) -> Column:
+    """Sets that can be similar are of one class or of neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(DEN / NUM))).cast("int")
+
+
+def blocked_pairs(rows: DataFrame) -> DataFrame:
+    """:func:`candidates` of all members of a group with all others of other components, each pair once.
+
+    The members of a group are dealt to blocks by size class and salt, and every two blocks whose classes allow it are one
+    key, so no key holds a hot group."""
+    rows = rows.withColumn("size", size_class(F.col("n")))
+    blocks = rows.groupBy("gid", "size").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("blocks"))
+    salt = F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int")
+    placed = rows.join(blocks, ["gid", "size"]).withColumn("salt", salt).drop("blocks")
+    beside = blocks.select("gid", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), F.col("size").alias("other"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other_salt"))
+    each = placed.join(beside, ["gid", "size"])
+    mine, other = F.struct("size", "salt"), F.struct(F.col("other").alias("size"), F.col("other_salt").alias("salt"))
+    sent = each.select("gid", "key", "n", "pos", "comp", F.least(mine, other).alias("low"), F.greatest(mine, other).alias("high"))
+    x, y = sent.alias("x"), sent.alias("y")
+    on = (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.key") < F.col("y.key"))
+    return candidates(sent, sent, on)
+
+
 def hubs(groups: DataFrame, turn: int, many: int = 1) -> DataFrame:
     """``many`` members (fewer if they coincide) for each group and size class, others at every turn; neighbouring classes
     see each other's hubs."""
-    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM)))
     least = [F.min(F.struct(F.xxhash64("key", F.lit(turn), F.lit(j)).alias("r"), "key", "n", "pos")).alias(f"h{j}") for j in range(many)]
-    hub = groups.withColumn("size", size).groupBy("gid", "size").agg(*least)
+    hub = groups.withColumn("size", size_class(F.col("n"))).groupBy("gid", "size").agg(*least)
     each = F.array_distinct(F.array(*(F.struct(f"h{j}.key", f"h{j}.n", f"h{j}.pos") for j in range(many))))
     return hub.select("gid", F.explode(each).alias("h")).select("gid", "h.key", "h.n", "h.pos")
 
 
-def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    z, done = zstandard.ZstdCompressor(level=3), set()
-    for batch in batches:
-        rows = [i for i, k in enumerate(batch.column(0).to_pylist()) if k not in done and not done.add(k)]
-        part = batch.take(pa.array(rows, pa.int32()))
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([z.compress(t.lower()) for t in tk.as_bytes(part.column(1))], pa.binary())], names=["set_key", "z"])
+def compressor(wanted):
+    """(text_key, z): the lower-cased text of each distinct key that the filter passes, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, done = zstandard.ZstdCompressor(level=3), set()
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            some = has_key(wanted.value, np.frombuffer(b"".join(k[:8] for k in keys), ">u8").astype(np.uint64))
+            done = set() if len(done) > 1_000_000 else done
+            rows = [i for i in np.flatnonzero(some).tolist() if keys[i] not in done and not done.add(keys[i])]
+            part = batch.take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([z.compress((t or b"").lower()) for t in tk.as_bytes(part.column(1))], pa.binary())], names=["text_key", "z"])
+
+    return run
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -305,21 +336,23 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, sets: DataFrame):
+    """Texts and links of ``classes``: a row a distinct set, with its copies, their least id and one of their texts."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame):
         self.spark: SparkSession = docs.sparkSession
-        self.docs, self.sets = docs, sets
+        self.docs, self.classes = docs, classes
         self.texts: DataFrame | None = None
 
     def fetch(self, pairs: DataFrame) -> DataFrame:
-        """Compressed texts of the sets in ``pairs`` that have not been fetched before."""
+        """Compressed texts of the sets in ``pairs`` that have not been fetched before.  Texts that a filter of their keys
+        does not pass are not compressed, and whole texts are not shuffled."""
         want = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         if self.texts is not None:
             want = want.join(self.texts.select("key").distinct(), "key", "left_anti")
-        first = self.sets.where("n > 0").groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("short").alias("key"))
-        want = cut(first.join(want, "key", "left_semi").select("text_key", "set_key"), "want")
-        small = F.broadcast(want) if want.count() <= BROADCAST_ROWS else want
-        got = self.docs.join(small, "text_key").select("set_key", "text").mapInArrow(_compressed, "set_key binary, z binary")
-        got = got.groupBy("set_key").agg(F.first("z").alias("z")).select(short("set_key").alias("key"), "set_key", "z")
+        want = cut(self.classes.withColumnRenamed("short", "key").join(want, "key", "left_semi").select("text_key", "set_key"), "want")
+        bits = self.spark.sparkContext.broadcast(key_bits(want.select(short("text_key"))))
+        got = self.docs.mapInArrow(compressor(bits), "text_key binary, z binary").join(small(want), "text_key")
+        got = got.groupBy("text_key", "set_key").agg(F.first("z").alias("z")).select(short("set_key").alias("key"), "set_key", "z")
         got = cut(got, "texts")
         self.texts = got if self.texts is None else self.texts.unionByName(got)
         return self.texts
@@ -336,19 +369,20 @@ class _Join:
     def linked(self, links: DataFrame, comps: DataFrame) -> DataFrame:
         """``a`` and ``others``: the rows of all other sets that are similar to ``a``.  Sets without any may be missing."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        size = self.sets.where("n > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         known = both.groupBy("a").agg(F.count(F.lit(1)).alias("known"))
+        size = self.classes.select("set_key", "n", "copies")
         nodes = comps.join(size, comps["node"] == size["set_key"]).join(known, F.col("node") == known["a"], "left")
-        nodes = cut(nodes.select("root", "set_key", "n", "copies", F.coalesce("known", F.lit(0)).alias("known"), F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).alias("size")), "nodes")
+        nodes = cut(nodes.select("root", "set_key", "n", "copies", F.coalesce("known", F.lit(0)).alias("known"), size_class(F.col("n")).alias("size")), "nodes")
         whole = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("known").alias("known"))
         part = cut(whole.where("known < m * (m - 1)").select("root"), "part")
-        copies = nodes.select(F.col("set_key").alias("b"), "root", "copies")
-        out = both.join(copies.join(part, "root", "left_anti"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+        copies = cut(nodes.join(small(part), "root", "left_anti").select(F.col("set_key").alias("b"), "copies", "known"), "copies")
+        total = copies.agg(F.sum("known")).first()[0] or 0
+        out = spread_join(both, copies, "b", "known", total).where("copies is not null").groupBy("a").agg(F.sum("copies").alias("others"))
         if not part.take(1):
             return out
 
-        nodes = nodes.join(part, "root", "left_semi")
+        nodes = nodes.join(small(part), "root", "left_semi")
         blocks = nodes.groupBy("root", "size").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
         blocks = cut(blocks.select("root", "size", F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES)).alias("blocks")), "blocks")
         each = blocks.select("root", "size", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("salt"))
@@ -358,10 +392,10 @@ class _Join:
         sides = F.array_distinct(F.array(F.struct("x.size", "x.salt"), F.struct("y.size", "y.salt")))
         sides = x.join(y, on).select(F.col("x.root").alias("root"), pair.alias("pair"), F.posexplode(sides).alias("side", "s")).select("root", "s.size", "s.salt", "pair", "side")
         salt = F.pmod(F.xxhash64("set_key", F.lit("salt")), F.col("blocks")).cast("int").alias("salt")
-        placed = nodes.join(blocks, ["root", "size"]).select("root", "size", salt, "set_key", "copies")
+        placed = nodes.join(small(blocks), ["root", "size"]).select("root", "size", salt, "set_key", "copies")
         sent = placed.join(self.texts.select("set_key", "z").dropDuplicates(["set_key"]), "set_key")
         sides = cut(sides, "sides")
-        sent = sent.join(F.broadcast(sides) if sides.count() <= BROADCAST_ROWS else sides, ["root", "size", "salt"]).select("pair", "side", "set_key", "copies", "z")
+        sent = sent.join(small(sides), ["root", "size", "salt"]).select("pair", "side", "set_key", "copies", "z")
         found = sent.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_block_links, "a binary, others long")
         return out.unionByName(found.groupBy("a").agg(F.sum("others").alias("others")))
 
@@ -387,16 +421,25 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[id_col].alias("id"), F.unhex(F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")))).alias("text_key"), docs[text_col].cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    read = cut(rows.mapInArrow(_sets, f"id {kind}, text_key binary, set_key binary, n int, segment int, counts binary"), "sets")
-    sets = read.where("segment is null").select("id", "text_key", "set_key", "n", short(F.col("set_key")).alias("short"))
-    counts = spark.sparkContext.broadcast(shingle_counts(read))
-    blobs = rows.select("text").mapInArrow(poster(counts, 4 * parts), "bucket int, blob binary")
-    groups = cut(blobs.repartition(parts, "bucket").mapInArrow(_groups, "gid long, key long, n int, pos int"), "groups")
-    del blobs
-    release(spark)
-
-    join = _Join(rows.select("text_key", "text"), sets)
-    prefixes = cut(groups.groupBy("key", "n").agg(F.collect_list("gid").alias("gids")), "prefixes")
+    with scope():
+        read = cut(rows.mapInArrow(_sets, f"id {kind}, text_key binary, set_key binary, n int, segment int, counts binary"), "sets")
+        sets = read.where("segment is null").select("id", "text_key", "set_key", "n", short(F.col("set_key")).alias("short"))
+        counts = spark.sparkContext.broadcast(shingle_counts(read))
+        blobs = rows.select("text").mapInArrow(poster(counts, 4 * parts), "bucket int, blob binary")
+        groups = cut(blobs.repartition(parts, "bucket").mapInArrow(_groups, "gid long, key long, n int, pos int"), "groups")
+        del blobs
+        release(spark)
+        each = [F.min("text_key").alias("text_key"), F.first("short").alias("short"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least")]
+        classes = cut(sets.where("n > 0").groupBy("set_key").agg(*each), "classes")
+        join = _Join(rows.select("text_key", "text"), classes)
+        edges, comps = _linked(join, groups)
+        release(spark)
+        return cut(_numbered(sets, classes, comps, join.linked(edges, comps) if links else None, id_col), "joined", keep=True)
+
+
+def _linked(join: _Join, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links, enough of them to join every component, and the components."""
+    prefixes = cut(groups.groupBy("key", "n").agg(F.collect_set("gid").alias("gids"), F.count(F.lit(1)).alias("many")).select("key", "n", "gids", (F.col("many") - F.size("gids")).cast("int").alias("extra")), "prefixes")
     pairs = cut(promising(candidates(groups, hubs(groups, 0)), prefixes), "pairs")
     edges = join.verify(pairs)
     comps = cut(components(edges), "components")
@@ -410,12 +453,11 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             break
         open_ = cut(placed.join(mixed.select("gid"), "gid", "left_semi"), "open")
         last = across <= 8 * members or turn > HUB_ROUNDS
-        other = F.col("x.comp") != F.col("y.comp")
         if last:
-            more = candidates(open_, open_, other & (F.col("x.key") < F.col("y.key")))
+            more = blocked_pairs(open_)
         else:
             chosen = hubs(open_, turn, HUBS).join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-            more = candidates(open_, chosen, other)
+            more = candidates(open_, chosen, F.col("x.comp") != F.col("y.comp"))
         more = cut(promising(more, prefixes).join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = join.verify(more)
         pairs = pairs.unionByName(more)
@@ -424,18 +466,22 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             comps = cut(components(edges), "components")
         if last:
             break
+    return edges, comps
+
 
-    each = sets.join(comps.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    named = each.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
-    out = each.join(named, "root", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    columns = [F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id")]
-    if not links:
-        return out.select(*columns)
-    size = sets.where("n > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"))
-    linked = join.linked(edges, comps).withColumnRenamed("a", "set_key")
-    size = size.join(linked, "set_key", "left").select("set_key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return out.join(size, "set_key", "left").select(*columns, F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
+def _numbered(sets: DataFrame, classes: DataFrame, comps: DataFrame, linked: DataFrame | None, id_col: str) -> DataFrame:
+    """The result's columns.  Only sets with copies or links need a look-up, and neither a hot set nor a hot component
+    sends all its rows to one task."""
+    known = classes.join(comps, classes["set_key"] == comps["node"], "left").where("copies > 1 or root is not null")
+    known = cut(known.select("set_key", "copies", "least", F.coalesce("root", "set_key").alias("root")), "known")
+    roots = cut(known.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("many")), "roots")
+    known = spread_join(known, roots, "root", "many", known.count()).select("set_key", "copies", "component_id")
+    if linked is not None:
+        known = known.join(linked.groupBy(F.col("a").alias("set_key")).agg(F.sum("others").alias("others")), "set_key", "left")
+        known = known.select("set_key", "copies", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = spread_join(sets.select("id", "set_key", "n"), cut(known, "known"), "set_key", "copies", sets.count())
+    columns = [F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
+    return out.select(*columns) if linked is None else out.select(*columns, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -444,7 +490,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Rows with a null id and texts without words stay.  Only ids that go are joined to whole rows.  Where an id repeats,
     one of its rows stays; that costs a shuffle of whole rows, made only if there are such ids.
     """
-    found = cut(ngram_join(docs, id_col=id_col, text_col=text_col, links=False), "found")
+    found = ngram_join(docs, id_col=id_col, text_col=text_col, links=False)
     kept = anti_join(docs, found.where(F.col(id_col) != F.col("component_id")), id_col)
     ids = found.where("n_shingles > 0").where(F.col(id_col).isNotNull())
     if ids.groupBy(id_col).count().where("count > 1").take(1):
