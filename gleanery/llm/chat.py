@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 START, END, MARK = "<|im_start|>", "<|im_end|>", "<|"
 
 
-def conversations(turns: DataFrame, key: str, out: str) -> DataFrame:
-    """One row a conversation with its turns in order; a conversation is one output row, so its turns meet in one task."""
-    turn = F.struct(
+def turn_of(turns: DataFrame) -> Column:
+    return F.struct(
         turns["turn"].alias("turn"),
         F.coalesce(turns["role"].cast("string"), F.lit("user")).alias("role"),
         F.replace(F.coalesce(turns["text"].cast("string"), F.lit("")), F.lit(MARK), F.lit("< |")).alias("text"),
     )
-    return turns.where(turns[key].isNotNull()).groupBy(turns[key].alias("pair_id")).agg(F.sort_array(F.collect_list(turn)).alias(out))
+
+
+def both_sides(turns: DataFrame) -> DataFrame:
+    """``pair_id`` and the turns in order of side 0 (``c``) and of side 1 (``r``), of (pair_id, side, t) rows, for pairs that
+    have both.  One shuffle; a pair is one output row, so its turns meet in one task."""
+    side = lambda n: F.sort_array(F.collect_list(F.when(F.col("side") == n, F.col("t"))))
+    return turns.where("pair_id is not null").groupBy("pair_id").agg(side(0).alias("c"), side(1).alias("r")).where((F.size("c") > 0) & (F.size("r") > 0))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -66,7 +71,12 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, *, pair_col: str
     null text is empty, rows with a null pair belong to no pair.  Equal conversations have an empty completion on both
     sides, a conversation that is the other's beginning on one; pairs without a common start have an empty prompt.
     """
-    both = conversations(chosen, pair_col, "c").join(conversations(rejected, pair_col, "r"), "pair_id")
+    sides = [df.select(df[pair_col].alias("pair_id"), F.lit(n).alias("side"), turn_of(df).alias("t")) for n, df in enumerate((chosen, rejected))]
+    return formatted(both_sides(sides[0].unionByName(sides[1])))
+
+
+def formatted(both: DataFrame) -> DataFrame:
+    """:func:`format_preferences` of one row a pair with the turns of both sides, ``c`` and ``r``."""
     both = both.withColumn("n", common_prefix(F.col("c"), F.col("r")))
     rest = lambda x: F.slice(F.col(x), F.col("n") + 1, F.greatest(F.size(x) - F.col("n"), F.lit(0)))
     return both.select(
@@ -80,24 +90,22 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, *, pair_col: str
     )
 
 
-def neighbour_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs from a table without preferences: conversation ``2i`` is chosen; rejected is the same up to its last
-    assistant turn, then neighbour ``2i + 1`` from that one's last assistant turn on.  A conversation without an assistant
-    turn is kept or taken as it is; a turn without a number comes before the last one.  A conversation whose neighbour is
-    not in the table makes no pair and gives no row."""
-    t = turns.select("conv_id", "turn", "role", "text").where("conv_id is not null")
-    last = t.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"))
-    t = t.join(last, "conv_id", "left").withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long"))
-    even, odd = F.col("conv_id") % 2 == 0, F.col("conv_id") % 2 != 0
-    named = lambda df: df.select("pair_id", "turn", "role", "text")
-    head = named(t.where(even & F.coalesce(F.col("turn") < F.col("last"), F.lit(True))))
-    tail = t.where(odd & (F.col("last").isNull() | (F.col("turn") >= F.col("last")))).withColumn("turn", F.col("turn") + (1 << 32))
-    paired = t.where(odd).select("pair_id").distinct()
-    return named(t.where(even)), head.join(paired, "pair_id", "left_semi").unionByName(named(tail))
+def neighbour_pairs(turns: DataFrame) -> DataFrame:
+    """Pairs from a table without preferences, as :func:`formatted` takes them: conversation ``2i`` is chosen; rejected is
+    the same up to its last assistant turn, then neighbour ``2i + 1`` from that one's last assistant turn on.  A conversation
+    without an assistant turn is kept or taken as it is; a turn without a number comes before the last one.  A conversation
+    whose neighbour is not in the table makes no pair and gives no row.  One scan, one shuffle."""
+    t = turns.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), turn_of(turns).alias("t"), F.when(F.col("role") == "assistant", F.col("turn")).alias("said"))
+    last = [F.max(F.when(F.col("side") == n, F.col("said"))).alias(f"last{n}") for n in (0, 1)]
+    side = [F.sort_array(F.collect_list(F.when(F.col("side") == n, F.col("t")))).alias(x) for n, x in enumerate("co")]
+    both = t.where("pair_id is not null").groupBy("pair_id").agg(*side, *last).where((F.size("c") > 0) & (F.size("o") > 0))
+    head = F.filter("c", lambda x: F.coalesce(x["turn"] < F.col("last0"), F.lit(True)))
+    tail = F.filter("o", lambda x: F.col("last1").isNull() | (x["turn"] >= F.col("last1")))
+    return both.select("pair_id", "c", F.concat(head, tail).alias("r"))
 
 
 def op9_preference_format(spark, sf_dir: str) -> DataFrame:
-    return format_preferences(*neighbour_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return formatted(neighbour_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 _TURN = f"'{START}' || t.role || chr(10) || t.text || '{END}' || chr(10)"
