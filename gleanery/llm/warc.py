@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.tables import BROADCAST_ROWS, cut, fresh_path
+from gleanery.llm.tables import BROADCAST_ROWS, cut, fresh_path, scope, spread_join
 
 #: Payloads of at least this many bytes are stored once.
 MIN_REVISIT = 1000
@@ -288,16 +288,24 @@ class Archive:
     other its records are responses.  Other columns are ignored; an empty table makes an archive without shards.
     """
 
-    def __init__(self, pages: DataFrame, *, date: str = "2024-01-01T00:00:00Z"):
+    def __init__(self, pages: DataFrame, *, folder: str | None = None, date: str = "2024-01-01T00:00:00Z"):
+        """In ``folder``, which all executors share; else in the work folder, for as long as the application runs."""
         self.spark = pages.sparkSession
-        self.folder = fresh_path(self.spark, "warc")
+        self.folder = folder or fresh_path(self.spark, "warc")
         p = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
         p = p.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
+        with scope():
+            self._written(p, date)
+
+    def _written(self, p: DataFrame, date: str) -> None:
         size = F.octet_length(F.coalesce("html", F.lit("")))
-        again = cut(p.where(size >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last"), "repeated")
-        again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+        again = cut(p.where(size >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+        if again.count() <= BROADCAST_ROWS:
+            rows = p.join(F.broadcast(again), "digest", "left")
+        else:  # short payloads, of which many are alike, are no keys of the join
+            rows = spread_join(p.where(size >= MIN_REVISIT), again, "digest", "n", again.agg(F.sum("n")).first()[0]).unionByName(p.where(size < MIN_REVISIT), allowMissingColumns=True)
         refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")), F.col("last"))
-        rows = p.join(again, "digest", "left").select("url", "page_id", "html", "digest", refers.alias("refers_to"))
+        rows = rows.select("url", "page_id", "html", "digest", refers.alias("refers_to"))
         entries = cut(rows.mapInArrow(archiver(self.folder, date), "key string, file string, offset long, length long"), "captures")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         lines = entries.repartitionByRange(parts, "key").sortWithinPartitions("key", "file", "offset")
