@@ -8,6 +8,8 @@ suppressed.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -124,7 +126,7 @@ def find_secrets(text: str, classes: Sequence[CharClass] = CLASSES, allow: Seque
     base: list[tuple[str, int, int]] = []
     if "=" in text or ":" in text:
         base += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
-    more: list[tuple[str, int, int, int, int]] = []
+    more: dict[str, list[tuple[int, int, int, int]]] = {cls.kind: [] for cls in classes}
     for at, word in _long_words(text, 20):
         if "AKIA" in word:
             base += [("access", at + m.start(), at + m.end()) for m in _ACCESS.finditer(word) if m.end() - m.start() >= 20]
@@ -132,17 +134,27 @@ def find_secrets(text: str, classes: Sequence[CharClass] = CLASSES, allow: Seque
         for cls in classes:
             for m in cls.run.finditer(word):
                 if m.end() - m.start() >= cls.window:
-                    more += [(cls.kind, at + m.start() + a, at + m.start() + b, at, at + len(word)) for a, b in hot_windows(m[0], cls)]
-    taken = [(a, b) for _, a, b in base]
-    for kind, a, b, word_at, word_end in more:
-        own = text[max(word_at, a - 200) : min(word_end, b + 12)]
-        ahead = text[max(0, word_at - 12, a - 200) : b].replace("\n", " ")
-        if not any(x <= a and b <= y for x, y in taken) and not any(p.fullmatch(own) for p in allow) and not any(p.fullmatch(ahead) for p in before):
-            taken.append((a, b))
-            base.append((kind, a, b))
+                    more[cls.kind] += [(at + m.start() + a, at + m.start() + b, at, at + len(word)) for a, b in hot_windows(m[0], cls)]
+    for kind, found in more.items():
+        if found:
+            held = within([(a, b) for _, a, b in base])
+            base += [(kind, a, b) for a, b, word_at, word_end in found if not held(a, b) and not allowed(text, a, b, word_at, word_end, allow, before)]
     return base
 
 
+def allowed(text: str, a: int, b: int, word_at: int, word_end: int, allow: Sequence[re.Pattern], before: Sequence[re.Pattern]) -> bool:
+    own = text[max(word_at, a - 200) : min(word_end, b + 12)]
+    ahead = text[max(0, word_at - 12, a - 200) : b].replace("\n", " ")
+    return any(p.fullmatch(own) for p in allow) or any(p.fullmatch(ahead) for p in before)
+
+
+def within(spans: list[tuple[int, int]]):
+    """Whether one of ``spans`` holds a range: of those that begin no later, the one that ends last does, or none."""
+    spans = sorted(spans)
+    starts, reach = [a for a, _ in spans], list(itertools.accumulate((b for _, b in spans), max))
+    return lambda a, b: (i := bisect.bisect_right(starts, a)) > 0 and reach[i - 1] >= b
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column(1).to_pylist()
