@@ -4,7 +4,9 @@ A window is ``k`` consecutive words of a text.  Its minimiser is the least hash
 windows have equal minimisers wherever they stand, and neighbouring windows mostly share theirs.  A run of windows with one
 minimiser (a super-k-mer) travels as a single packed string to the minimiser's bucket: about three times the text is sent
 instead of ``k`` times.  A bucket holds every occurrence of each of its windows; sorting their hashes brings equal ones
-together and the words themselves decide.  What comes back is word ranges by text, which are joined to the documents.
+together and the words themselves decide.  A bucket that is too large for a task (a hot minimiser) is dealt out once more by
+its windows.  What comes back is word ranges by text, which are joined to those documents that a filter of the texts' keys
+passes.
 
 Identical texts share a key (96 bits of MD5): in a task's buffer they are packed once, marked as many, and the ranges that
 come back serve all of them.
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import textkit as tk
-from gleanery.llm.tables import cut, release
+from gleanery.llm.tables import cut, has_key, key_bits, release, scope, spread_join
 
 WINDOW = 35
 GRAM = 8
@@ -30,6 +32,11 @@ GRAM = 8
 MAX_RUN = 128
 #: A task packs and sends its buckets whenever it holds this many bytes.
 BUFFER_BYTES = 48 << 20
+#: Or has seen this many texts.
+BUFFER_TEXTS = 400_000
+#: A bucket of more packed bytes than this (a minimiser that stands in very many contexts) is not sorted in one task: its
+#: windows are dealt out once more, one by one.
+BUCKET_BYTES = 48 << 20
 KEY = 12
 
 
@@ -122,7 +129,7 @@ def packer(buckets: int, k: int, m: int):
                         got[0] = True
                         got[1] += (key, at)
                         size += 60
-            if size > BUFFER_BYTES:
+            if size > BUFFER_BYTES or len(seen) > BUFFER_TEXTS:
                 yield from flush()
                 seen, size = {}, 0
         yield from flush()
@@ -208,20 +215,57 @@ def bucket_ranges(blobs: list[bytes], k: int) -> dict[bytes, list[int]]:
     return out
 
 
-def finder(k: int):
+def bucket_windows(blob: bytes, k: int) -> Iterator[tuple[list[bytes], list[bytes], list[int]]]:
+    """Window hashes (128 bits of the words), text keys and first words of every window at every place of a packed blob."""
+    body, _, counts, starts, keys = unpack(blob)
+    place = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64).tolist()
+    for s, text in enumerate(body.split(b"\n")):
+        words = text.split(b" ")
+        hashes = [hashlib.blake2b(b" ".join(words[i : i + k]), digest_size=16).digest() for i in range(len(words) - k + 1)]
+        for p in range(place[s], place[s + 1]):
+            yield hashes, [keys[KEY * p : KEY * p + KEY]] * len(hashes), [int(starts[p]) + i for i in range(len(hashes))]
+
+
+def finder(k: int, most: int):
+    """Ranges by text key; for buckets of more than ``most`` bytes each window with its hash and its range instead."""
+    kinds = (pa.binary(), pa.list_(pa.int32()), pa.binary())
+
+    def batch_of(keys, ranges, windows):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((keys, ranges, windows), kinds, strict=True)], names=["key", "ranges", "window"])
+
+    def apart(blob: bytes):
+        for hashes, keys, at in bucket_windows(blob, k):
+            yield batch_of(keys, [[a, a + k] for a in at], hashes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
+        size: dict[int, int] = {}
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(bucket, []).append(blob)
+                size[bucket] = size.get(bucket, 0) + len(blob)
+                if size[bucket] > most:
+                    while held[bucket]:
+                        yield from apart(held[bucket].pop())
         for bucket in list(held):
-            ranges = bucket_ranges(held.pop(bucket), k)
+            blobs = held.pop(bucket)
+            ranges = bucket_ranges(blobs, k) if blobs else None
             if ranges:
-                yield pa.RecordBatch.from_arrays([pa.array(list(ranges), pa.binary()), pa.array(list(ranges.values()), pa.list_(pa.int32()))], names=["key", "ranges"])
+                yield batch_of(list(ranges), list(ranges.values()), [None] * len(ranges))
 
     return run
 
 
+def repeated_ranges(found: DataFrame) -> DataFrame:
+    """``key, ranges`` of what :func:`finder` found; of single windows, those whose hash comes twice or more."""
+    single = found.where("window is not null")
+    if not single.take(1):
+        return found.select("key", "ranges")
+    twice = cut(single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "windows")
+    total = twice.agg(F.sum("n")).first()[0] or 0
+    return found.where("window is null").select("key", "ranges").unionByName(spread_join(single, twice, "window", "n", total).where("n is not null").select("key", "ranges"))
+
+
 def kept_words(words: list[bytes], ranges: list[int] | None) -> list[bytes]:
     if not ranges:
         return words
@@ -232,6 +276,31 @@ def kept_words(words: list[bytes], ranges: list[int] | None) -> list[bytes]:
     return [words[i] for i in np.flatnonzero(np.cumsum(reach)[:-1] == 0).tolist()]
 
 
+def _key(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(k[:8] for k in column.to_pylist()), ">u8").astype(np.uint64)
+
+
+def chooser(bits, passing: bool):
+    """Of (id, key, text) rows those whose key passes the filter, or those whose key does not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has_key(bits.value, _key(batch.column(1))) == passing))
+
+    return run
+
+
+def rest(bits):
+    """The result of rows whose text loses nothing."""
+    pick = chooser(bits, False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pick(batches):
+            yield from _removed([pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.nulls(batch.num_rows, pa.list_(pa.int32()))], names=["id", "text", "ranges"])])
+
+    return run
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, gone, kept_text = [], [], []
@@ -256,15 +325,19 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     blobs = text.mapInArrow(packer(4 * parts, window, gram), "bucket int, blob binary")
-    ranges = blobs.repartition(parts, "bucket").mapInArrow(finder(window), "key binary, ranges array<int>")
-    ranges = cut(ranges.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")  # a row is at most a text's own windows
-    del blobs
-    release(spark)
+    with scope():
+        found = cut(blobs.repartition(parts, "bucket").mapInArrow(finder(window, BUCKET_BYTES), "key binary, ranges array<int>, window binary"), "found")
+        del blobs
+        release(spark)
+        ranges = cut(repeated_ranges(found).groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges", keep=True)  # a row is at most a text's own windows
+    bits = spark.sparkContext.broadcast(key_bits(ranges.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long"))))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    rows = rows.withColumn("key", F.unhex(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 2 * KEY)))
-    joined = rows.join(ranges, "key", "left").select("id", "text", "ranges")
+    rows = rows.select("id", F.unhex(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 2 * KEY)).alias("key"), "text")
     kind = rows.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(_removed, f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_words long, n_removed long, kept_text string"
+    # only rows whose text may lose something are shuffled
+    joined = rows.mapInArrow(chooser(bits, True), f"id {kind}, key binary, text string").join(ranges, "key", "left").select("id", "text", "ranges")
+    return joined.mapInArrow(_removed, schema).unionByName(rows.mapInArrow(rest(bits), schema)).withColumnRenamed("id", id_col)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
