@@ -1,6 +1,6 @@
 """Personal data: fixed patterns, and a character tagger for what they miss.
 
-The tagger (a bidirectional LSTM with CRF transitions, trained here on labelled spans in generated text) reads overlapping
+The tagger (a bidirectional LSTM with CRF transitions, trained here on labelled spans in generated text, once) reads overlapping
 windows of the whole text.  Each of its kinds holds a digit or an ``@``, and a span without one is never accepted, so
 windows without such a character cannot add anything and are not decoded: the result is the same as with them.  Where a
 window's edge cuts a span, or a span is not accepted, and no neighbour's accepted span holds it, a wider window around it is
@@ -12,17 +12,22 @@ from __future__ import annotations
 
 import bisect
 import functools
+import hashlib
+import pickle
 import re
+import sys
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import spans as sp
 from gleanery.llm import tagger as tg
-from gleanery.llm.tables import schema_of
+from gleanery.llm.tables import column_at, schema_of
+from gleanery.storage import exists, work_dir
 
 BASE_KINDS = tg.KINDS
 STRIDE = tg.WIDTH // 2
@@ -39,6 +44,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}([-./])[01]?[0-9]\1[0-3]?[0-9](?![0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -81,8 +87,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def acceptable(kind: str, text: str) -> bool:
-    """What a tagged span must be whatever the tagger says."""
+    """What a tagged span must be whatever the tagger says: none is without a digit but an address with ``@``, and none begins
+    with a date."""
     digits = "".join(c for c in text if c in "0123456789")
+    if not digits and kind != "email" or _DATE.match(text):
+        return False
     if kind == "email":
         return re.fullmatch(r"[\w.%+-]+\s?@\s?[\w-]+(?:\s?\.\s?[\w-]+)+", text) is not None
     if kind == "ip":
@@ -179,6 +188,18 @@ def trained(windows: int = 6000, steps: int = 350, seed: int = 11) -> tg.Model:
     return tg.train(np.array(x), np.array(y), steps=steps)
 
 
+def shared_model(spark: SparkSession):
+    """The tagger as a broadcast.  It is trained once for the cluster: a file in the work folder, named by what it follows
+    from, holds it for later applications."""
+    made = hashlib.sha256(b"".join(Path(m.__file__).read_bytes() for m in (tg, sys.modules[__name__]))).hexdigest()[:16]
+    path = f"{work_dir(spark)}/models/tagger-{made}"
+    if exists(spark, f"{path}/_SUCCESS"):
+        return spark.sparkContext.broadcast(pickle.loads(spark.read.parquet(path).first()["model"]))
+    model = trained()
+    spark.createDataFrame([(bytearray(pickle.dumps(model)),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.sparkContext.broadcast(model)
+
+
 # --- decoding ------------------------------------------------------------------------------------------------------
 
 
@@ -323,8 +344,10 @@ def find_private(texts: list[str], model: tg.Model) -> list[list[tuple[str, int,
     for span in widened(model, texts, open_):
         keep(*span)
     for d, spans in found.items():
-        taken = [(a, b) for _, a, b in out[d]]
-        out[d] += [(ADDED[k], a, b) for k, a, b in reconciled(spans) if not any(x < b and a < y for x, y in taken)]
+        taken = merged([(a, b) for _, a, b in out[d]])
+        ends = [y for _, y in taken]
+        free = lambda a, b: (i := bisect.bisect_right(ends, a)) == len(taken) or taken[i][0] >= b  # noqa: B023, E731
+        out[d] += [(ADDED[k], a, b) for k, a, b in reconciled(spans) if free(a, b)]
     return out
 
 
@@ -346,7 +369,7 @@ def scan_private(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     A null text has no spans and stays null; an empty one stays empty; repeated rows come back as often as they came in;
     ids, null ones too, are passed on; other columns are ignored.  No shuffle: each row stands alone.
     """
-    model = docs.sparkSession.sparkContext.broadcast(trained())
+    model = shared_model(docs.sparkSession)
     row = F.struct(docs[id_col].alias(id_col), *(docs[c].alias(c) for c in carry))
     narrow = docs.select(row.alias("row"), docs[text_col].cast("string").alias("text"))
     found = narrow.mapInArrow(scanner(model), f"row {narrow.schema['row'].dataType.simpleString()}, spans {sp.SPANS}, redacted string")
@@ -369,10 +392,11 @@ def redactor(model, text_at: int, chars_at: int | None):
 
 def redacted(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in brackets; ``chars_col``, if there, is counted
-    anew.  Other columns, nulls and the number of rows stay as they are."""
-    model = docs.sparkSession.sparkContext.broadcast(trained())
+    anew.  Other columns of whatever name, nulls, empty texts, repeated rows and the number of rows stay as they are; an
+    empty table stays empty."""
+    model = shared_model(docs.sparkSession)
     at = docs.columns.index(chars_col) if chars_col in docs.columns else None
-    return docs.mapInArrow(redactor(model, docs.columns.index(text_col), at), schema_of(docs))
+    return docs.mapInArrow(redactor(model, column_at(docs, text_col), at), schema_of(docs))
 
 
 def op4_private_data(spark, sf_dir: str) -> DataFrame:
