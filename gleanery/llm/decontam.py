@@ -22,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gleanery.llm import textkit as tk
-from gleanery.llm.tables import cut, schema_of
+from gleanery.llm.tables import column_at, cut, schema_of
 
-#: Words that an item has at least.
+#: Words of an item from which it is aligned; a shorter one is only found where it is the whole text.
 SEED = 3
 BLOCK_ITEMS = 20_000
 #: Seeds of an item, at different words of it, that a place must show (fewer where an item has no more sure steps).
@@ -68,6 +69,14 @@ class Items:
     item: np.ndarray
     at: np.ndarray
 
+    def short(self) -> dict[tuple, list[int]]:
+        """Items without seeds, by their words."""
+        out: dict[tuple, list[int]] = {}
+        for i, h in enumerate(self.words):
+            if 0 < len(h) < SEED:
+                out.setdefault(tuple(h.tolist()), []).append(i)
+        return out
+
     @classmethod
     def of(cls, rows: list[tuple]) -> Items:
         ids = [i for i, _ in rows]
@@ -184,9 +193,9 @@ def places(h: np.ndarray, items: Items, maybe: np.ndarray, threshold: float) ->
             yield int(item[a]), start[a:b].tolist()
 
 
-def alignments(h: np.ndarray, items: Items, maybe: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
+def alignments(h: np.ndarray, items: Items, maybe: np.ndarray, threshold: float, short: dict[tuple, list[int]]) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, last word plus one) of every place of a text that aligns with an item."""
-    out = []
+    out = [(i, 1.0, 0, len(h)) for i in short.get(tuple(h.tolist()), ())] if len(h) < SEED else []
     for item, starts in places(h, items, maybe, threshold):
         a = items.words[item]
         need = threshold * len(a)
@@ -227,20 +236,20 @@ def apart(found: list[tuple[int, float, int, int]]) -> list[tuple[int, float, in
     return [p for mine in kept.values() for p in mine]
 
 
-def finder(items, threshold: float):
+def finder(items, threshold: float, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = items.value
-        maybe = block.seen_filter()
+        maybe, short = block.seen_filter(), block.short()
         for batch in batches:
             rows, which, score, first, last = [], [], [], [], []
             for i, (*_, h) in enumerate(tk.hashed_docs(flat(t) for t in tk.as_bytes(batch.column(1)))):
-                for item, s, a, b in alignments(h, block, maybe, threshold):
+                for item, s, a, b in alignments(h, block, maybe, threshold, short):
                     rows.append(i)
                     which.append(block.ids[item])
                     score.append(s)
                     first.append(a)
                     last.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(which, pa.int64()), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["id", "item_id", "score", "first_word", "last_word"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(which, kind), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["id", "item_id", "score", "first_word", "last_word"])
 
     return run
 
@@ -250,16 +259,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     over the item's words, at most 1), ``first_word`` and ``last_word`` (exclusive; words as :func:`flat` parts them).
     Places of an item do not overlap.  A ``threshold`` must be more than one word of each item.
 
-    Null and empty texts hold nothing; items without text or of fewer than ``SEED`` words are not looked for; repeated
-    items are looked for once each; repeated rows and null ids come back as they are; other columns are ignored; an empty
-    table on either side gives no rows.
+    Null and empty texts hold nothing; an item of fewer than ``SEED`` words is found in texts that consist of it alone;
+    items without text are not looked for; repeated items are looked for once each; item ids keep their type; repeated rows
+    and null ids, of texts and items, come back as they are; other columns are ignored; an empty table on either side gives
+    no rows.
     """
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, item_id long, score double, first_word long, last_word long"
+    item = benchmark.schema[column_at(benchmark, item_col)].dataType
+    schema = f"id {kind}, item_id {item.simpleString()}, score double, first_word long, last_word long"
     out = None
     for seeds in seed_blocks(narrow, benchmark, item_col, threshold):
-        found = narrow.mapInArrow(finder(seeds, threshold), schema)
+        found = narrow.mapInArrow(finder(seeds, threshold, to_arrow_type(item)), schema)
         out = found if out is None else cut(out, "contaminated").unionByName(found)
     return out.withColumnRenamed("id", id_col)
 
@@ -267,7 +278,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 def seed_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", threshold: float = THRESHOLD):
     """Broadcasts of the items with their seeds, block by block; ``docs`` has a column ``text``."""
     spark = docs.sparkSession
-    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text is not null and item_id is not null")
+    items = benchmark.select(benchmark[item_col].alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text is not null")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     for n in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n).orderBy("item_id", "text").collect()  # about BLOCK_ITEMS rows
@@ -282,19 +293,21 @@ def seed_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id"
 def without_items(items, text_at: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = items.value
-        maybe = block.seen_filter()
+        maybe, short = block.seen_filter(), block.short()
         for batch in batches:
-            ok = [not alignments(h, block, maybe, threshold) for *_, h in tk.hashed_docs(flat(t) for t in tk.as_bytes(batch.column(text_at)))]
+            ok = [not alignments(h, block, maybe, threshold, short) for *_, h in tk.hashed_docs(flat(t) for t in tk.as_bytes(batch.column(text_at)))]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no test item is found (see :func:`contaminated`)."""
+    """The rows of ``docs``, with all their columns, in which no test item is found (see :func:`contaminated`, also for
+    nulls).  Texts, repeated rows and columns of any other name stay as they are; an empty table on either side takes
+    nothing away."""
     narrow = docs.select(docs[text_col].cast("string").alias("text"))
     for seeds in seed_blocks(narrow, benchmark, item_col, threshold):
-        docs = docs.mapInArrow(without_items(seeds, docs.columns.index(text_col), threshold), schema_of(docs))
+        docs = docs.mapInArrow(without_items(seeds, column_at(docs, text_col), threshold), schema_of(docs))
     return docs
 
 
