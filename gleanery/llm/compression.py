@@ -114,11 +114,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     y = labels.select(labels["doc_id"].alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id")))
     y = y.groupBy("id").agg(F.min("y").alias("y")).withColumn("turn", F.md5(F.col("id").cast("string")))
     half = F.conv(F.substring("turn", 1, 1), 16, 10).cast("int") % 2  # dictionaries and curve learn from different rows
-    y = cut(y.withColumn("half", half), "labels")
+    y = cut(y.withColumn("half", half), "labels")  # a row a labelled document
     picked = cut(y.where("y = 1 and half = 0").orderBy("turn").limit(DICT_ROWS).unionByName(y.where("y = 0 and half = 0").orderBy("turn").limit(DICT_ROWS)), "picked")
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     texts = rows.join(F.broadcast(picked), "id").select("turn", "y", F.substring(F.col("text"), 1, DICT_BYTES_A_ROW).alias("text")).where("text is not null")  # 2 * DICT_ROWS rows
-    sample = sorted({(r["turn"], r["y"], r["text"]) for r in texts.limit(8 * DICT_ROWS).collect()})
+    sample = sorted({(r["turn"], r["y"], r["text"]) for r in texts.orderBy("turn", "text").limit(8 * DICT_ROWS).collect()})
     good, bad = ([t.encode()[:DICT_BYTES_A_ROW] for _, v, t in sample if v == k] for k in (1, 0))
     dicts = spark.sparkContext.broadcast(Dictionaries(dictionary(good) if good else b"", dictionary(bad) if bad else b""))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import textkit as tk
-from gleanery.llm.tables import BROADCAST_ROWS, anti_join, cut, schema_of
+from gleanery.llm.tables import anti_join, column_at, cut, schema_of, small
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SYMBOLS = b"#*$%&|<>"
@@ -130,9 +130,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     each = measured(docs, {id_col: docs[id_col], "host": docs[host_col].cast("string")}, docs[text_col])
     each = cut(each.withColumn("base_failed", base_failed()), "rules")
     bad = cut(host_verdicts(each, "host", "base_failed", max_host_failure), "hosts")
-    if bad.count() <= BROADCAST_ROWS:
-        bad = F.broadcast(bad)
-    joined = each.join(bad.select("host", F.col("rate").alias("host_rate"), "host_ok"), "host", "left")
+    joined = each.join(small(bad).select("host", F.col("rate").alias("host_rate"), "host_ok"), "host", "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("host_ok"), F.lit(True))
     return joined.select(id_col, *(m.split()[0] for m in MEASURES.split(", ")), "base_failed", kept.alias("kept"), "host", "host_rate", F.coalesce("host_ok", F.lit(True)).alias("host_ok"))
 
@@ -157,7 +155,7 @@ def quality_filter(docs: DataFrame, *, text_col: str = "text", host_col: str = "
     """
     each = measured(docs, {"host": docs[host_col].cast("string")}, docs[text_col])
     bad = host_verdicts(each.withColumn("base_failed", base_failed()), "host", "base_failed", max_host_failure).where(~F.col("host_ok"))
-    kept = docs.mapInArrow(passing(docs.columns.index(text_col)), schema_of(docs))
+    kept = docs.mapInArrow(passing(column_at(docs, text_col)), schema_of(docs))
     return anti_join(kept, bad.select(F.col("host").alias(host_col)), host_col)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontam, ngram_join as nj, substring as sub
+from gleanery.llm import decontam, ngram_join as nj, substring as sub, tables
 from gleanery.llm import textkit as tk
 from gleanery.llm.components import components
 
@@ -239,7 +239,7 @@ def leak_rows():
 def test_finds_what_full_alignment_finds(spark):
     docs, items, truth = leak_rows()
     flat = lambda t: decontam.flat((t or "").encode()).split()
-    want = {(d, i) for d, t in docs for i, x in items if len(flat(x)) >= 3 and plain_alignment(flat(x), flat(t)) >= decontam.THRESHOLD * len(flat(x))}
+    want = {(d, i) for d, t in docs for i, x in items if (len(flat(x)) >= 3 or flat(x) == flat(t)) and x and plain_alignment(flat(x), flat(t)) >= decontam.THRESHOLD * len(flat(x))}
     assert truth <= want
     found = decontam.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
@@ -262,6 +262,12 @@ def test_decontam_edges(spark):
     assert decontam.contaminated(frame(spark, rows), bench).count() == 0
     assert decontam.decontaminated(frame(spark, rows), bench.limit(0)).count() == 3
     assert decontam.contaminated(frame(spark, rows).limit(0), bench).count() == 0
+    named = spark.createDataFrame([("i-1", "a b c d e"), (None, "q r s t u"), ("s", "Two words"), ("e", "")], "Item_ID string, text string")
+    texts = frame(spark, [(1, "x a b c d e"), (2, "q r s t u"), (3, "two words!"), (4, "here are two words more"), (5, "")])
+    assert sorted((r.doc_id, str(r.item_id)) for r in decontam.contaminated(texts, named).collect()) == [(1, "i-1"), (2, "None"), (3, "s")]
+    assert sorted(r.doc_id for r in decontam.decontaminated(texts.withColumnRenamed("text", "TEXT"), named).collect()) == [4, 5]
+    long = frame(spark, [(1, "w " * 300_000 + "a b c d e " + "w " * 300_000)])
+    assert [(r.first_word, r.last_word) for r in decontam.contaminated(long, bench).collect()] == [(300_000, 300_005)]
     hit = frame(spark, [(None, "x A, b! c d e y")] * 2)
     assert [(r.doc_id, r.item_id, r.score, r.first_word, r.last_word) for r in decontam.contaminated(hit, bench).collect()] == [(None, 1, 1.0, 1, 6)] * 2
 
@@ -286,3 +292,51 @@ def test_no_alignment_avoids_the_seeds(spark, copies):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, docs), bench).collect()} == {(d, d // 100) for d in want}
     assert {r.doc_id for r in decontam.decontaminated(frame(spark, docs), bench).collect()} == {d for d, _ in docs} - want
+
+
+@pytest.mark.parametrize("most", [0, 3000])
+def test_large_buckets_are_dealt_out_by_windows(spark, monkeypatch, most):
+    monkeypatch.setattr(sub, "BUCKET_BYTES", most)
+    monkeypatch.setattr(sub, "BUFFER_TEXTS", 5)
+    rows = passages()
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in sub.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_removed(rows)
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"n{i % 70_001}" for i in range(200_000))
+    rows = frame(spark, [(1, long), (2, long + " more"), (3, "x" * 2_000_000), (4, None)])
+    got = {r.doc_id: (r.component_id, r.n_links) for r in nj.ngram_join(rows).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+    done = {r.doc_id: (r.n_words, r.n_removed) for r in sub.substring_dedup(rows).collect()}
+    assert done == {1: (200_000, 200_000), 2: (200_001, 200_000), 3: (1, 0), 4: (0, 0)}
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(tables, "HOT_KEYS", 5)
+    left = spark.createDataFrame([("hot", i) for i in range(50)] + [(f"k{i % 9}", i) for i in range(30)] + [(None, 99), ("none", 1)], "k string, v int")
+    right = tables.cut(spark.createDataFrame([("hot", 50, "h")] + [(f"k{i}", 4, f"r{i}") for i in range(9)], "k string, n int, w string"), "right")
+    got = sorted((str(r.k), r.v, r.w) for r in tables.spread_join(left, right, "k", "n", 80).collect())
+    want = {"hot": "h"} | {f"k{i}": f"r{i}" for i in range(9)}
+    assert got == sorted((str(r.k), r.v, want.get(r.k)) for r in left.collect())
+    rows = corpus()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.ngram_join(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_filter_of_keys(spark):
+    keys = list(range(-5000, 5000, 7))
+    bits = tables.key_bits(spark.createDataFrame([(k,) for k in keys] + [(None,)], "k long"))
+    assert tables.has_key(bits, np.array(keys, np.int64).view(np.uint64)).all()
+    assert not tables.has_key(bits, np.arange(10_000, 20_000).astype(np.uint64)).any()
+
+
+def test_no_table_is_left(spark, tmp_path, monkeypatch):
+    from gleanery import storage
+
+    monkeypatch.setattr(storage, "work_dir", lambda _: f"file://{tmp_path}/work")
+    nj.ngram_join(frame(spark, corpus(n=20))).collect()
+    sub.substring_dedup(spark.createDataFrame(passages(), "doc_id long, text string")).collect()
+    left = sorted(p.name.split("-")[0] for p in (tmp_path / "work").iterdir())
+    assert left == ["joined", "ranges"]  # what the results are read from; they go with the application
