@@ -10,7 +10,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: 0 is outside; 2k + 1 begins a span of kind k, 2k + 2 continues it.
 TAGS = 1 + 2 * len(KINDS)
 WIDTH = 64
-HIDDEN = 16
+HIDDEN = 24
 FAR = -1e4
 
 _PUNCT = " \n@.-+()_:/#%&=\"',;|!?[]{}<>*$~"
