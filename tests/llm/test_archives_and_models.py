@@ -1,7 +1,10 @@
 import hashlib
 import random
+import zlib
 
+import numpy as np
 import pytest
+import zstandard
 
 from gleanery.llm import chat, compression as cm, warc
 
@@ -103,3 +106,43 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     other = [(i, 1 - y if zlib.crc32(str(i).encode()) % 4 == 2 else y) for i, y in lab]
     a, b = (sorted((r.doc_id, r.score) for r in cm.quality_scores(d, spark.createDataFrame(x, "doc_id long, quality int")).collect()) for x in (lab, other))
     assert [i for i, _ in a] == [i for i, _ in b] and [x for _, x in a] == pytest.approx([x for _, x in b])
+
+
+def test_scores_against_plain_steps(spark):
+    """Dictionaries, sizes block by block and the fitted curve, step by step in plain Python."""
+    rng = random.Random(12)
+    good, bad = (["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(300)] for _ in range(2))
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(rng.randint(0, 400))), i % 2) for i in range(240)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    got = {r.doc_id: r for r in cm.quality_scores(docs, labels).collect()}
+
+    turn = {i: hashlib.md5(str(i).encode()).hexdigest() for i, _, _ in rows}
+    out = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    half = lambda i: int(turn[i][0], 16) % 2
+    taught = sorted((turn[i], y, t) for i, t, y in rows if i not in out and half(i) == 0)
+    made = [zstandard.ZstdCompressionDict(cm.dictionary([t.encode() for _, v, t in taught if v == y])) for y in (1, 0)]
+
+    def size(text, d):
+        c = zstandard.ZstdCompressor(dict_data=d, level=cm.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(c.compress(text[k : k + 1024])) for k in range(0, len(text), 1024))
+
+    diff = {i: size(t.encode(), made[1]) - size(t.encode(), made[0]) for i, t, _ in rows}
+    fit = [(i, len(t), y) for i, t, y in rows if i not in out and half(i) == 1]
+    mean = sum(diff[i] for i, _, _ in fit) / sum(n for _, n, _ in fit)
+    x = {i: (diff[i] + cm.PULL * mean) / (len(t) + cm.PULL) for i, t, _ in rows}
+    a, b = cm.fit_logistic(np.array([x[i] for i, _, _ in fit]), np.array([float(y) for *_, y in fit]))
+    for i, _, _ in rows:
+        want = 1 / (1 + np.exp(-(a + b * x[i])))
+        assert got[i].score == pytest.approx(want, abs=1e-9) and got[i].held_out == (i in out) and got[i].predicted == int(want >= 0.7)
+    # the curve is the best one: no step in either direction is likelier (the ridge is too small to matter)
+    z = np.array([x[i] for i, _, _ in fit])
+    y = np.array([float(v) for *_, v in fit])
+    sd = z.std()
+    loss = lambda a, b: np.logaddexp(0, -(2 * y - 1) * (a + b * z)).sum() + 0.5e-3 * ((b * sd) ** 2 + (a + b * z.mean()) ** 2)
+    assert all(loss(a, b) <= loss(a + da, b + db / sd) + 1e-9 for da, db in ((0.01, 0), (-0.01, 0), (0, 0.01), (0, -0.01)))
+
+
+def test_very_long_text_is_scored_whole(spark):
+    docs = spark.createDataFrame([(1, "good words " * 200_000), (4, "bad stuff " * 300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in cm.quality_scores(docs, labels).collect())

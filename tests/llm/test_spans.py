@@ -2,7 +2,9 @@ import hashlib
 import math
 import random
 import re
+import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +171,87 @@ def test_rows_and_digest(spark):
 
 def test_replacing_overlaps():
     assert sp.replaced("abcdef", [("x", 1, 3), ("y", 2, 5)]) == "a[X]f"
+
+
+def plain_texts():
+    rows = duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE length(text) BETWEEN 300 AND 3000").fetchall()
+    return [t for (t,) in rows if not pii.base_spans(t) and not ss.find_secrets(t)]
+
+
+def recalled(find, forms, kind_of, seed=4, each=20):
+    """Of strings put in plain texts at random words, those of which four fifths are found; and what is found elsewhere."""
+    rng, texts = random.Random(seed), plain_texts()
+    hits = many = elsewhere = 0
+    for kind, form in forms:
+        for _ in range(each):
+            private, w = form(rng), rng.choice(texts).split(" ")
+            at = rng.randrange(1, len(w))
+            a = len(" ".join(w[:at])) + 1
+            b = a + len(private)
+            found = find(" ".join([*w[:at], private, *w[at:]]))
+            many += 1
+            hits += any(kind_of(k, kind) and 5 * (min(y, b) - max(x, a)) >= 4 * (b - a) for k, x, y in found)
+            elsewhere += sum(y <= a or b <= x for _, x, y in found)
+    return hits / many, elsewhere
+
+
+def digits(rng, *groups):
+    return [noise(rng, "0123456789", n) for n in groups]
+
+
+def card(rng, sep):
+    body = rng.choice("456") + noise(rng, "0123456789", 14)
+    whole = next(body + str(c) for c in range(10) if pii.luhn(body + str(c)))
+    return sep.join(whole[i : i + 4] for i in range(0, 16, 4))
+
+
+HEX = "0123456789abcdef"
+PRIVATE = [
+    ("email", lambda r: r.choice(("anna.schmidt", "joe", "claire_dupont", "k.brown77")) + " @ " + r.choice(("posteo.de", "mail.example.com", "orange.fr"))),
+    ("ip", lambda r: ":".join(noise(r, HEX, 4) for _ in range(8))),
+    ("ip", lambda r: "2001:db8::" + noise(r, HEX, 4) + ":" + noise(r, HEX, 3)),
+    ("ip", lambda r: " . ".join(str(r.randint(1, 255)) for _ in range(4))),
+    ("card", lambda r: card(r, ".")),
+    ("card", lambda r: card(r, "  ")),
+    ("phone", lambda r: "0" + " ".join(digits(r, 2, 3, 4))),
+    ("phone", lambda r: "({}) {} {} {}".format(*digits(r, 4, 2, 2, 2))),
+    ("phone", lambda r: "-".join(digits(r, 3, 3, 4))),
+    ("phone", lambda r: "0033 " + " ".join(digits(r, 1, 2, 2, 2, 2))),
+    ("phone", lambda r: ".".join(digits(r, 3, 3, 4))),
+]
+
+
+def test_tagger_finds_what_patterns_miss_in_plain_texts(model):
+    recall, elsewhere = recalled(lambda t: pii.find_private([t], model)[0], PRIVATE, lambda got, want: got.removeprefix("tagged_") == want)
+    assert recall >= 0.9 and elsewhere == 0
+    assert not any(pii.find_private(plain_texts(), model))
+
+
+def test_entropy_finds_what_patterns_miss_in_plain_texts():
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = [("entropy", lambda r, a=a: noise(r, a, r.randint(28, 48))) for a in (letters, letters + "+/", letters + "_-", "0123456789ABCDEF")]
+    recall, elsewhere = recalled(ss.find_secrets, forms, lambda got, want: got.startswith(want), each=60)
+    assert recall >= 0.9 and elsewhere == 0
+
+
+def test_what_no_span_is():
+    assert not pii.acceptable("ip", "dead:beef:cafe:face") and not pii.acceptable("ip", ":::") and not pii.acceptable("phone", "2024-01-05 1200")
+    assert pii.acceptable("ip", "2001:db8::1:2") and pii.acceptable("phone", "0221 47 11 08 15")
+
+
+def test_many_spans_take_linear_time():
+    took = []
+    for n in (2000, 16_000):
+        text = f"x {KEY} " * n
+        began = time.perf_counter()
+        assert len(ss.find_secrets(text)) == 2 * n  # one class within the other
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0]
+
+
+def test_the_model_is_kept(spark, tmp_path, monkeypatch, model):
+    monkeypatch.setattr(pii, "work_dir", lambda _: f"file://{tmp_path}")
+    first = pii.shared_model(spark).value
+    monkeypatch.setattr(pii, "trained", lambda: pytest.fail("trained again"))
+    again = pii.shared_model(spark).value
+    assert all((a == b).all() for a, b in zip(first.params(), again.params(), strict=True))
