@@ -52,7 +52,7 @@ def document_frequency(index: Index, terms: DataFrame) -> DataFrame:
 def hint(terms: DataFrame):
     """What marks tables of a few rows a query, as ``terms`` (written) is one, for a broadcast; it does so only if there
     are few of those."""
-    return F.broadcast if terms.count() <= storage.BROADCAST_ROWS else lambda df: df
+    return F.broadcast if storage.rows_of(terms) <= storage.BROADCAST_ROWS else lambda df: df
 
 
 def query_terms(index: Index, queries: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def ladder(index: Index, terms: DataFrame, section: str | None = None, kind: str
         base = storage.written(_scored(index, terms, allowed, few), "scored")
         if {1, 4} & set(stages):
             near = near_counts(index, terms, base.where("k >= 2 AND m = k").select("query_id", "chunk_id"))
-            near = storage.written(base.join(near, ["query_id", "chunk_id"]), "near")
+            near = base.join(near, ["query_id", "chunk_id"])
         for first, f, w, m, g in ((1, "t", "v", "mt", "h"), (4, "f", "w", "m", "g")):
             if first in stages:
                 out.append(row(near.where(" + ".join(f"{g}{j}" for j in _EACH) + " > 0"), first, _score(g, w, mean)))
@@ -233,26 +233,29 @@ def search(index: Index, queries: DataFrame, *, limit: int = 10, per_page: int =
         if strict_limit:
             rows = rows.selectExpr("*", "row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY stage, score) AS __n").where("__n = 1").drop("__n")
         rows = rows.selectExpr("*", "row_number() OVER (PARTITION BY query_id ORDER BY stage, score, chunk_id) AS pos")
-        return storage.written(rows.where(F.col("pos") <= limit), "best")
+        return storage.written(rows.where(F.col("pos") <= limit), "best", keep=True)
 
     with storage.scope():
         asked = storage.written(queries.select("query_id", "query"), "asked")
-        many, few = asked.count(), hint(asked)
+        many, few = storage.rows_of(asked), hint(asked)
         terms = storage.written(query_terms(index, asked), "terms")
         top = best(ladder(index, terms, section, kind, tuple(range(1, 8))))
         # later stages are for queries that earlier ones leave short of the limit
         full = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= limit).select("query_id")
         if full.count() < many:
-            top = best(top.drop("pos").unionByName(ladder(index, terms.join(few(full), "query_id", "left_anti"), section, kind, (8,))))
+            short = terms.join(few(full), "query_id", "left_anti")
+            short.row_count = storage.rows_of(terms)  # at most
+            top, before = best(top.drop("pos").unionByName(ladder(index, short, section, kind, (8,)))), top
+            storage.discard(before)
             full = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= limit).select("query_id")
             if full.count() < many:
                 worded = terms.select("query_id").distinct().withColumn("worded", F.lit(True))
                 more = substring_hits(index, asked.join(few(full), "query_id", "left_anti"), section, kind)
                 more = more.join(few(worded), "query_id", "left").where("worded or stage = 10").drop("worded")
-                top = best(top.drop("pos").unionByName(more))
-        top = storage.written(top.join(few(asked), "query_id"), "top", keep=True)
+                top, before = best(top.drop("pos").unionByName(more)), top
+                storage.discard(before)
     heads = index.chunks.select("chunk_id", F.col("filename").alias("id"), "title", "source_path", "section", "kind", "chunk_index", "total_chunks", F.col("title").alias("chunk_title"), "body", "description")
-    found = heads.join(storage.small(top), "chunk_id")
+    found = heads.join(storage.small(top), "chunk_id").join(few(queries.select("query_id", "query")), "query_id")
     kept = thinned(found, per_page)
     token = F.lower(F.get(text.raw_tokens(F.col("query")), F.lit(0)))
     in_title, in_body = (text.all_within(F.col(c), text.raw_tokens(F.col("query"))) for c in ("title", "body"))

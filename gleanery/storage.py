@@ -75,9 +75,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def rows_of(df: DataFrame) -> int:
+    """How many rows a written table has; counted once."""
+    if "row_count" not in df.__dict__:
+        df.row_count = df.count()
+    return df.row_count
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, a written table, marked for a broadcast if it has at most ``rows`` rows, which are counted."""
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if rows_of(df) <= rows else df
 
 
 def _fs(spark: SparkSession, path: str):

@@ -13,9 +13,11 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "3")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.codegen.wholeStage", "false")  # tables of a few rows: compiling takes longer than running
         .config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", "file:///tmp/checkpoints/gleanery-tests")
         .getOrCreate()
