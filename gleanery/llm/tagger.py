@@ -12,6 +12,8 @@ TAGS = 1 + 2 * len(KINDS)
 WIDTH = 64
 HIDDEN = 24
 FAR = -1e4
+#: A tag's emission counts as no further than this below the best one.
+LEAST = -60.0
 
 _PUNCT = " \n@.-+()_:/#%&=\"',;|!?[]{}<>*$~"
 _CODE = np.full(128, 3, np.int64)  # 0 padding, 1 digit, 2 upper case, 3 other ASCII, 4 beyond ASCII
@@ -68,62 +70,66 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def _lstm(model: Model, d: int, x: np.ndarray, keep: bool):
-    """Hidden states (T, B, H) of one direction for codes (T, B)."""
-    h, steps, b = HIDDEN, *x.shape
-    put = model.table[d][x] + model.bias[d]
-    out, cell, state, held = np.zeros((steps, b, h), np.float32), np.zeros((b, h), np.float32), np.zeros((b, h), np.float32), []
-    for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-        g = put[t] + state @ model.inner[d]
-        s = _sigmoid(g[:, : 3 * h])
-        i, f, o, c = s[:, :h], s[:, h : 2 * h], s[:, 2 * h :], np.tanh(g[:, 3 * h :])
+def _lstm(model: Model, x: np.ndarray, keep: bool = False):
+    """Hidden states (T, B, 2H) for codes (T, B), the forward direction's first.  Both directions run side by side; what is
+    kept for the gradients stands in the order in which each reads."""
+    h, (steps, b) = HIDDEN, x.shape
+    put, turned = model.table + model.bias[:, None], x[::-1]
+    cell = state = np.zeros((2, b, h), model.inner.dtype)
+    out, held = np.empty((steps, b, 2 * h), model.inner.dtype), []
+    for t in range(steps):
+        g = state @ model.inner
+        g[0] += put[0][x[t]]
+        g[1] += put[1][turned[t]]
+        s = _sigmoid(g[..., : 3 * h])
+        i, f, o, c = s[..., :h], s[..., h : 2 * h], s[..., 2 * h :], np.tanh(g[..., 3 * h :])
         before, was = cell, state
         cell = f * cell + i * c
         th = np.tanh(cell)
         state = o * th
-        out[t] = state
+        out[t, :, :h], out[steps - 1 - t, :, h:] = state[0], state[1]
         if keep:
-            held.append((t, i, f, o, c, before, th, was))
+            held.append((i, f, o, c, before, th, was))
     return out, held
 
 
 def emissions(model: Model, x: np.ndarray) -> np.ndarray:
     """(T, B, TAGS) for codes (T, B)."""
-    return np.concatenate([_lstm(model, d, x, False)[0] for d in (0, 1)], axis=2) @ model.out + model.out_bias
-
-
-def _lse(x, axis):
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
-def forward_backward(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    alpha, beta = np.empty_like(e), np.zeros_like(e)
-    alpha[0] = e[0] + STARTS
-    for t in range(1, len(e)):
-        alpha[t] = e[t] + _lse(alpha[t - 1][:, :, None] + trans, 1)
+    return _lstm(model, x)[0] @ model.out + model.out_bias
+
+
+def forward_backward(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward and backward probabilities, whose product is each tag's marginal, the weight with which a step enters
+    a pair of tags, and the logarithm of the sum over all paths."""
+    top, step = e.max(axis=2, keepdims=True), np.exp(trans.astype(np.float64))
+    put = np.exp(np.maximum((e - top).astype(np.float64), LEAST))
+    alpha, beta, scale = np.empty_like(put), np.ones_like(put), np.empty((*e.shape[:2], 1))
+    for t in range(len(e)):
+        now = put[t] * (alpha[t - 1] @ step if t else np.exp(STARTS))
+        scale[t] = now.sum(axis=1, keepdims=True)
+        alpha[t] = now / scale[t]
+    enter = put / scale
     for t in range(len(e) - 2, -1, -1):
-        beta[t] = _lse(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-    return alpha, beta, _lse(alpha[-1], 1)
+        enter[t + 1] *= beta[t + 1]
+        beta[t] = enter[t + 1] @ step.T
+    return alpha, beta, enter, (np.log(scale) + top).sum(axis=(0, 2))
 
 
 def marginals(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    alpha, beta, z = forward_backward(e, trans)
-    return np.exp(alpha + beta - z[:, None])
+    alpha, beta, _, _ = forward_backward(e, trans)
+    return alpha * beta
 
 
 def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Best tags (T, B)."""
-    best, back = e[0] + STARTS, np.empty(e.shape, np.int8)
+    """Best tags (T, B), the first of equal ones."""
+    best = np.empty_like(e)
+    best[0] = e[0] + STARTS
     for t in range(1, len(e)):
-        s = best[:, :, None] + trans
-        back[t] = s.argmax(1)
-        best = s.max(1) + e[t]
+        best[t] = e[t] + (best[t - 1].T[:, :, None] + trans[:, None, :]).max(axis=0)
     tags = np.empty(e.shape[:2], np.int64)
-    tags[-1] = best.argmax(1)
-    rows = np.arange(e.shape[1])
+    tags[-1] = best[-1].argmax(1)
     for t in range(len(e) - 1, 0, -1):
-        tags[t - 1] = back[t][rows, tags[t]]
+        tags[t - 1] = (best[t - 1] + trans.T[tags[t]]).argmax(1)
     return tags
 
 
@@ -131,36 +137,39 @@ def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, list[n
     """Mean negative log-likelihood of tags (T, B) and its gradients."""
     steps, b = x.shape
     h = HIDDEN
-    states = [_lstm(model, d, x, True) for d in (0, 1)]
-    both = np.concatenate([s[0] for s in states], axis=2)
+    both, held = _lstm(model, x, True)
     e = both @ model.out + model.out_bias
     trans = model.transitions()
-    alpha, beta, z = forward_backward(e, trans)
-    rows = np.arange(b)
-    gold = e[np.arange(steps)[:, None], rows, y].sum() + trans[y[:-1], y[1:]].sum()
-    g_e = np.exp(alpha + beta - z[:, None])
-    g_e[np.arange(steps)[:, None], rows, y] -= 1
-    g_e /= b
-    g_trans = np.zeros((TAGS, TAGS), np.float32)
-    for t in range(1, steps):
-        g_trans += np.exp(alpha[t - 1][:, :, None] + trans + (e[t] + beta[t] - z[:, None])[:, None, :]).sum(0)
+    alpha, beta, enter, z = forward_backward(e, trans)
+    at = (np.arange(steps)[:, None], np.arange(b), y)
+    gold = e[at].sum() + trans[y[:-1], y[1:]].sum()
+    g_e = alpha * beta
+    g_e[at] -= 1
+    g_e = (g_e / b).astype(e.dtype)
+    g_trans = np.exp(trans.astype(np.float64)) * (alpha[:-1].reshape(-1, TAGS).T @ enter[1:].reshape(-1, TAGS))
     np.add.at(g_trans, (y[:-1].ravel(), y[1:].ravel()), -1)
-    g_trans = g_trans / b * ALLOWED
-    g_out, g_out_bias = np.einsum("tbh,tbk->hk", both, g_e), g_e.sum((0, 1))
+    g_trans = (g_trans / b * ALLOWED).astype(e.dtype)
+    g_out, g_out_bias = both.reshape(-1, 2 * h).T @ g_e.reshape(-1, TAGS), g_e.sum((0, 1))
     g_both = g_e @ model.out.T
-    g_table, g_inner, g_bias = np.zeros_like(model.table), np.zeros_like(model.inner), np.zeros_like(model.bias)
-    for d in (0, 1):
-        g_state, g_cell = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
-        for t, i, f, o, c, before, th, was in reversed(states[d][1]):
-            g_state = g_state + g_both[t, :, d * h : (d + 1) * h]
-            g_cell = g_cell + g_state * o * (1 - th * th)
-            g = np.concatenate([g_cell * c * i * (1 - i), g_cell * before * f * (1 - f), g_state * th * o * (1 - o), g_cell * i * (1 - c * c)], axis=1)
-            g_inner[d] += was.T @ g
-            g_bias[d] += g.sum(0)
-            np.add.at(g_table[d], x[t], g)
-            g_state = g @ model.inner[d].T
-            g_cell = g_cell * f
-    return float((z.sum() - gold) / b), [g_table, g_inner, g_bias, g_out, g_out_bias, g_trans]
+    g_put = np.empty((2, steps, b, 4 * h), e.dtype)
+    g_state, g_cell, back = np.zeros((2, b, h), e.dtype), np.zeros((2, b, h), e.dtype), model.inner.transpose(0, 2, 1)
+    for t in range(steps - 1, -1, -1):
+        i, f, o, c, before, th, _ = held[t]
+        g_state[0] += g_both[t, :, :h]
+        g_state[1] += g_both[steps - 1 - t, :, h:]
+        g_cell = g_cell + g_state * o * (1 - th * th)
+        g = g_put[:, t]
+        g[..., :h] = g_cell * c * i * (1 - i)
+        g[..., h : 2 * h] = g_cell * before * f * (1 - f)
+        g[..., 2 * h : 3 * h] = g_state * th * o * (1 - o)
+        g[..., 3 * h :] = g_cell * i * (1 - c * c)
+        g_state = g @ back
+        g_cell = g_cell * f
+    g_put = g_put.reshape(2, -1, 4 * h)
+    was = np.stack([row[-1] for row in held], axis=1).reshape(2, -1, h)
+    one = [(codes.reshape(-1, 1) == np.arange(ALPHABET)).astype(e.dtype) for codes in (x, x[::-1])]
+    g_table = np.stack([one[d].T @ g_put[d] for d in (0, 1)])
+    return float((z.sum() - gold) / b), [g_table, was.transpose(0, 2, 1) @ g_put, g_put.sum(axis=1), g_out, g_out_bias, g_trans]
 
 
 def train(windows: np.ndarray, tags: np.ndarray, *, steps: int, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Model:
